@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, toxicity
+from . import byte_bpe, exact_dedup, media, packing, pii, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_media": media.op7_media,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+        "op10_pii": pii.op10_pii,
     }
 
 
