@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, exact_dedup, media, packing, pii, toxicity
+from . import byte_bpe, chat, exact_dedup, html_text, media, packing, pii, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_media": media.op7_media,
+        "op8_html_text": html_text.op8_html_text,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_pii": pii.op10_pii,
     }
