@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, forget, written
 
 BUCKETS = 1 << 18
 GRAMS = (4, 5, 6)
@@ -86,20 +86,29 @@ def _raw(batch: pa.RecordBatch, name: str):
             yield data[offsets[i] : offsets[i + 1]]
 
 
-def featurise(texts: DataFrame) -> DataFrame:
-    """(y, text) -> (y, buckets as packed int32)."""
+def _featurised(texts: DataFrame, schema: str, make) -> DataFrame:
+    """``make`` turns an iterator of (y, distinct buckets) into record batches of ``schema``."""
 
     def run(batches):
         seen = _Seen()
-        for b in batches:
-            rows = [seen.distinct(x).tobytes() for x in _raw(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(rows, pa.binary())], ["y", "buckets"])
+        yield from make((y, seen.distinct(x)) for b in batches for y, x in zip(b.column("y").to_pylist(), _raw(b, "text")))
+
+    return texts.mapInArrow(run, schema)
+
 
-    return texts.mapInArrow(run, "y int, buckets binary")
+def _class_counts(rows):
+    """Per task: in how many toxic and clean texts each bucket occurs."""
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for y, buckets in rows:
+        counts[int(y > 0), buckets] += 1
+    used = np.flatnonzero(counts.sum(0))
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[1, used]), pa.array(counts[0, used])], ["bucket", "toxic", "clean"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
-    """Fit on labelled documents outside the held-out fold. Returns {"w": float32[BUCKETS], "b": float}."""
+    """Fit on labelled documents outside the held-out fold. Returns {"w": float32[BUCKETS], "b": float}.
+
+    The driver gets one row of counts per bucket, and per labelled row the few buckets whose ratio isn't zero."""
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id")
@@ -108,26 +117,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
         .limit(max_rows)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    got = featurise(texts).toArrow()
-    y = got.column("y").to_numpy().astype(np.float64)
-    rows = [np.frombuffer(x, np.int32) for x in got.column("buckets").to_pylist()]
-    share = (y.sum() + 1) / (len(y) + 2)
-    prior = {"w": np.zeros(BUCKETS, np.float32), "b": float(np.log(share / (1 - share)))}
-    if len(y) == 0 or y.min() == y.max():
-        return prior
+    texts = written(texts, "toxic-sample")
+    n_all, n_toxic = texts.select(F.count("*"), F.coalesce(F.sum(F.when(F.col("y") > 0, 1)), F.lit(0))).first()
+    share = (n_toxic + 1) / (n_all + 2)
+    bias = float(np.log(share / (1 - share)))
+    w = np.zeros(BUCKETS, np.float32)
+    if n_toxic in (0, n_all):
+        forget(texts)
+        return {"w": w, "b": bias}
+    table = _featurised(texts, "bucket bigint, toxic bigint, clean bigint", _class_counts)
+    table = table.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
     toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row, label in zip(rows, y):
-        (toxic if label > 0 else clean)[row] += 1  # buckets of a row are distinct
-    p, q = 1 + toxic, 1 + clean
-    r = np.log((p / (y.sum() + 2)) / (q / ((1 - y).sum() + 2)))
-    often = (toxic >= max(3, 0.02 * y.sum())) | (clean >= max(3, 0.02 * (1 - y).sum()))
-    r[~often | (np.abs(r) < 0.7) | (np.abs(r) < 3 * np.sqrt(1 / p + 1 / q))] = 0  # rare, or not surely apart
-    rows = [x[r[x] != 0] for x in rows]
+    toxic[table["bucket"]], clean[table["bucket"]] = table["toxic"], table["clean"]
+    n_clean = n_all - n_toxic
+    r = np.log(((1 + toxic) / (n_toxic + 2)) / ((1 + clean) / (n_clean + 2)))
+    often = (toxic >= max(3, 0.02 * n_toxic)) | (clean >= max(3, 0.02 * n_clean))
+    r[~often | (np.abs(r) < 0.7) | (np.abs(r) < 3 * np.sqrt(1 / (1 + toxic) + 1 / (1 + clean)))] = 0  # rare, or not surely apart
+    mark = np.packbits(r != 0)
+
+    def kept(rows):
+        keep = np.unpackbits(mark)[:BUCKETS].astype(bool)
+        found = [(int(y > 0), x[keep[x]].tobytes()) for y, x in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["y", "buckets"])
+
+    got = _featurised(texts, "y int, buckets binary", kept).toPandas()
+    forget(texts)
+    y = got["y"].to_numpy(np.float64)
+    rows = [np.frombuffer(x, np.int32) for x in got["buckets"]]
     index = np.concatenate(rows)
     of_row = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in rows])
     used, local = np.unique(index, return_inverse=True)
-    ru, values = r[used], r[used][local]
-    v, b = np.zeros(len(used)), prior["b"]
+    values = r[used][local]
+    v, b = np.zeros(len(used)), bias
     # Full-batch Adam on the L2-regularised logistic loss; sums over the index arrays replace a sparse matrix.
     m1, m2, mb1, mb2, rate, penalty = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0, 0.02, 1e-3
     for step in range(1, 121):
@@ -140,8 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
         fix1, fix2 = 1 - 0.9**step, 1 - 0.99**step
         v -= rate * (m1 / fix1) / (np.sqrt(m2 / fix2) + 1e-9)
         b -= rate * (mb1 / fix1) / (np.sqrt(mb2 / fix2) + 1e-9)
-    w = np.zeros(BUCKETS, np.float32)
-    w[used] = ru * v
+    w[used] = r[used] * v
     return {"w": w, "b": float(b)}
 
 
