@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forget, small, written
+from .common import documents, forget, maybe_broadcast, small, written
 
 #: Characters that do not count: space and U+0009 to U+000D.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -96,9 +96,10 @@ def decide(docs: DataFrame, text: str = "text") -> DataFrame:
     unique = split.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     rest = split.where("maybe").drop("maybe")
     best = F.min(F.struct((-F.col("points")).alias("p"), "doc_id", "row")).alias("best")
-    groups = rest.groupBy("sha").agg(best, F.count("*").alias("group_size"))
-    # Large groups sit on one key: the join is a plain sort-merge join, which adaptive execution splits by size.
-    joined = rest.join(groups, "sha")
+    # One narrow row a group, made by partial aggregation. A large group never meets in one task: the table is
+    # broadcast while small, and beyond that joined by sort-merge, whose large partitions adaptive execution splits.
+    groups = written(rest.groupBy("sha").agg(best, F.count("*").alias("group_size")), "exact-groups")
+    joined = rest.join(maybe_broadcast(groups, 300_000), "sha")
     copies = joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"))
     return unique.unionByName(copies)
 
