@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, exact_dedup, html_text, media, packing, pii, toxicity
+from . import byte_bpe, chat, exact_dedup, html_text, media, minhash, packing, pii, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_chat": chat.op2_chat,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+        "op4_minhash": minhash.op4_minhash,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_media": media.op7_media,
