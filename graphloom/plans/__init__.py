@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import evaluation, html, knowledge, sequences, similarity, streams, texts  # noqa: F401
+from .base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
