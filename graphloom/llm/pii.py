@@ -131,16 +131,20 @@ def disclosing_terms(packed: DataFrame) -> DataFrame:
     known = written(known, "pii-entities")
     near = seen.join(maybe_broadcast(known.select("e"), 300_000), "e").select("e", "h", F.explode("terms").alias("term"))
     pairs = written(near.groupBy("e", "term").agg(F.count_distinct("h").alias("n_et")).where(F.col("n_et") >= SUPPORT), "pii-pairs")
-    candidates = pairs.select("term").distinct()
-    total = packed.select(F.count_distinct("h")).first()[0] if pairs.head(1) else 0
-    occurring = packed.select("h", F.explode(words(F.col("text"))).alias("term")).join(maybe_broadcast(candidates, 300_000), "term")
-    counts = occurring.groupBy("term").agg(F.count_distinct("h").alias("n_t"))
-    n = F.lit(float(total))
-    reveals = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    information = F.log2(n / F.col("n_e"))
-    if not total:
+    if not pairs.head(1):
         return spark.createDataFrame([], "term string")
-    judged = pairs.join(known, "e").join(counts, "term").where((information > 0) & (reveals >= DISCLOSED * information))
+    n = F.lit(float(packed.select(F.count_distinct("h")).first()[0]))
+    reveals = lambda n_t: F.log2(n * F.col("n_et") / (F.col("n_e") * F.col(n_t)))
+    information = F.log2(n / F.col("n_e"))
+    # A term occurs in at least the texts that have it near some entity. What fails with that count fails with
+    # the true one as well, so that only words rare near entities are counted over the corpus.
+    near_any = seen.select("h", F.explode("terms").alias("term")).groupBy("term").agg(F.count_distinct("h").alias("least"))
+    pairs = pairs.join(known, "e").join(near_any, "term").where((information > 0) & (reveals("least") >= DISCLOSED * information))
+    pairs = written(pairs, "pii-candidates")
+    candidates = maybe_broadcast(written(pairs.select("term").distinct(), "pii-words"), 300_000)
+    occurring = packed.select("h", F.explode(words(F.col("text"))).alias("term")).join(candidates, "term")
+    counts = occurring.groupBy("term").agg(F.count_distinct("h").alias("n_t"))
+    judged = pairs.join(counts, "term").where(reveals("n_t") >= DISCLOSED * information)
     return written(judged.select("term").distinct(), "pii-terms")
 
 
