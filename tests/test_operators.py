@@ -15,7 +15,7 @@ def test_type_labels(spark):
 
 
 def test_results_keys(spark):
-    assert one(spark, text.results_key(F.lit("watson_uco_results"))) == "watson_uco"
+    assert one(spark, text.results_key(F.lit("runner_uco_results"))) == "runner_uco"
     assert one(spark, text.results_key(F.lit("a_uco_openai-gpt-4o_embedding_2511251134_results"))) == "a_uco_openai-gpt-4o"
 
 
