@@ -6,12 +6,12 @@ are gold, both numbered by turn; ``documents`` and ``labels`` stand for labelled
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaccard
 from ..functions.text import tokens
-from ..operators import matching, metrics
+from ..operators import matching, metrics, ranks
 from .base import query, table
 
 #: Turns share few words, so the bars lie below those of entity names (0.2).
@@ -238,19 +238,16 @@ def usage_cost_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY toxic), r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id::VARCHAR), doc_id) AS rn FROM labels) SELECT doc_id, toxic FROM r WHERE rn <= (SELECT min(n) FROM c)")
 def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every class cut to the size of the smallest, in hash order."""
-    labels = table(spark, sf_dir, "labels")
-    least = labels.groupBy("toxic").count().agg(F.min("count").alias("least"))
-    ranked = labels.withColumn("rn", F.row_number().over(Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")))
-    return ranked.crossJoin(F.broadcast(least)).where("rn <= least").select("doc_id", "toxic")  # least: one row
+    ranked = ranks.numbered_within(table(spark, sf_dir, "labels"), "toxic", F.md5(F.col("doc_id").cast("string")), F.col("doc_id"))
+    least = ranked.agg(F.min("n").alias("least"))
+    return ranked.crossJoin(F.broadcast(least)).where("rank <= least").select("doc_id", "toxic")  # least: one row
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id::VARCHAR), doc_id) AS rn, count(*) OVER (PARTITION BY toxic) AS n FROM labels) SELECT doc_id, toxic FROM r WHERE rn <= floor(n * 0.25)")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of each label."""
-    labels = table(spark, sf_dir, "labels")
-    n = labels.groupBy("toxic").agg(F.count("*").alias("n"))
-    ranked = labels.withColumn("rn", F.row_number().over(Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")))
-    return ranked.join(F.broadcast(n), "toxic").where("rn <= floor(n * 0.25)").select("doc_id", "toxic")  # n: a row per label
+    ranked = ranks.numbered_within(table(spark, sf_dir, "labels"), "toxic", F.md5(F.col("doc_id").cast("string")), F.col("doc_id"))
+    return ranked.where("rank <= floor(n * 0.25)").select("doc_id", "toxic")
 
 
 @query("SELECT item_id FROM benchmark ORDER BY md5(item_id::VARCHAR || '7'), item_id LIMIT 5")
@@ -263,5 +260,4 @@ def random_demos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_z_pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most confident tenth keeps its label."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.abs(F.element_at("embedding", 1)).cast("double").alias("conf"))
-    n = e.count() // 10
-    return e.orderBy(F.desc("conf"), "vec_id").limit(n)
+    return ranks.numbered(e, F.desc("conf"), F.col("vec_id")).where(F.col("rank") <= e.count() // 10).drop("rank")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, metrics, ontology, resolve, search
+from ..operators import graph, metrics, ontology, ranks, resolve, search
 from .base import query, table
 
 _EDGES = "edges AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'top' FROM region)"
@@ -268,11 +268,9 @@ def alias_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH m AS (SELECT p_name AS text, min(p_partkey) AS pos FROM part GROUP BY 1) SELECT text, dense_rank() OVER (ORDER BY pos) - 1 AS mention_id FROM m")
 def mention_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct texts numbered by first appearance; the table of distinct names is what is numbered."""
-    from pyspark.sql import Window
-
+    """Distinct texts numbered by first appearance."""
     m = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("pos"))
-    return m.select("text", (F.dense_rank().over(Window.orderBy("pos")) - 1).cast("bigint").alias("mention_id"))
+    return ranks.numbered(m, F.col("pos"), to="n").select("text", (F.col("n") - 1).alias("mention_id"))
 
 
 @query("SELECT p_name AS name, arg_min(p_brand, p_partkey) AS cls FROM part GROUP BY 1")
