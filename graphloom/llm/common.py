@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a table may have to be broadcast; with the fixed row widths used here that is at most about 60 MB.
 BROADCAST_ROWS = 1_000_000
+#: Words of a Bloom filter that are broadcast, about 80 MB as a hash table.
+FILTER_WORDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,3 +60,54 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_text(column: str = "text"):
     """The text with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nobody holds any more, once their results are written.
+
+    It does so when the driver's garbage is collected, which on a large heap can be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bloom(keys: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
+    """A blocked Bloom filter of a key column, as a written table (word, bits), and its number of words."""
+    words = max(1, keys.count() // 4)
+    word, mask = bloom_address(F.col(column), words)
+    return written(keys.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits")), name), words
+
+
+def bloom_address(key: Column, words: int) -> tuple[Column, Column]:
+    """The filter word of a key and its mask of up to four bits, from two independent 64-bit hashes."""
+    h = F.xxhash64(key)
+    g = F.xxhash64(key, F.lit(1))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(g, 6 * k).bitwiseAND(63).cast("int"))
+    return F.pmod(h, F.lit(words).cast("bigint")), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+
+
+def probed(df: DataFrame, column: str, bits: DataFrame, words: int) -> DataFrame:
+    """``df`` with a boolean ``maybe``: false proves that the key isn't in the filter.
+
+    The filter is broadcast while it has at most FILTER_WORDS words; above, narrow words join by shuffle."""
+    word, mask = bloom_address(F.col(column), words)
+    joined = df.withColumns({"word": word, "mask": mask}).join(maybe_broadcast(bits, FILTER_WORDS), "word", "left")
+    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
+    return joined.withColumn("maybe", hit).drop("word", "mask", "bits")
+
+
+class Memo(dict):
+    """A dict that computes what is missing. At its bound the entries become the older half, which is looked at
+    before computing, and the half before it is dropped."""
+
+    def __init__(self, make, bound: int):
+        self.make, self.bound, self.old = make, bound, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value

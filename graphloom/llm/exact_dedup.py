@@ -10,7 +10,7 @@ bits that were set by at least two texts. Those words are the second filter, "po
 Pass 2 probes it: rows with a bit missing there are unique for sure and pass straight through; only the rest
 shuffles, and is grouped by the full SHA-256, so false positives cost a little movement and no exactness.
 
-The second filter is broadcast while it has at most ``FILTER_WORDS`` words (16 bytes each in the wire format,
+The second filter is broadcast while it has at most ``common.FILTER_WORDS`` words (16 bytes each in the wire format,
 about 80 MB as a hash table); above that its words are joined by shuffling the narrow key rows.
 
 Of equal texts the row with the most code points stays, then the smallest doc_id, then the earliest row.
@@ -25,26 +25,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forget, maybe_broadcast, small, written
+from .common import bloom_address, documents, forget, maybe_broadcast, probed, written
 
 #: Characters that do not count: space and U+0009 to U+000D.
 IGNORED = " \t\n\x0b\x0c\r"
 TEXTS_PER_WORD = 4
-FILTER_WORDS = 2_000_000
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), IGNORED, "")
 
 
-def bloom_address(sha: Column, words: int) -> tuple[Column, Column]:
-    """The filter word of a hash and its mask of up to four bits, from two independent 64-bit hashes."""
-    h = F.xxhash64(sha)
-    g = F.xxhash64(sha, F.lit(1))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(g, 6 * k).bitwiseAND(63).cast("int"))
-    return F.pmod(h, F.lit(words).cast("bigint")), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
-
-
 def repeated_bits(keys: DataFrame, words: int) -> DataFrame:
     """(word, bits): the bits that at least two rows set."""
     word, mask = bloom_address(F.col("sha"), words)
@@ -67,16 +58,6 @@ def repeated_bits(keys: DataFrame, words: int) -> DataFrame:
     )
 
 
-def split_by_filter(keys: DataFrame, bits: DataFrame, words: int) -> DataFrame:
-    """``keys`` with a boolean ``maybe``: false is a proof that the row's hash is unique."""
-    word, mask = bloom_address(F.col("sha"), words)
-    if small(bits, FILTER_WORDS):
-        bits = F.broadcast(bits)
-    probed = keys.withColumns({"word": word, "mask": mask}).join(bits, "word", "left")
-    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
-    return probed.withColumn("maybe", hit).drop("word", "mask", "bits")
-
-
 def keys_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """One narrow row per document: sha, doc_id, code points, row number within the written table."""
     return docs.select(
@@ -92,7 +73,7 @@ def decide(docs: DataFrame, text: str = "text") -> DataFrame:
     keys = written(keys_of(docs, text), "exact-keys")
     words = max(1, keys.count() // TEXTS_PER_WORD)
     bits = written(repeated_bits(keys, words), "exact-bits")
-    split = split_by_filter(keys, bits, words)
+    split = probed(keys, "sha", bits, words)
     unique = split.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     rest = split.where("maybe").drop("maybe")
     best = F.min(F.struct((-F.col("points")).alias("p"), "doc_id", "row")).alias("best")
@@ -116,7 +97,7 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     words = max(1, keys.count() // TEXTS_PER_WORD)
     bits = written(repeated_bits(keys, words), "exact-bits")
     forget(keys)
-    split = split_by_filter(packed.select("row", sha), bits, words)
+    split = probed(packed.select("row", sha), "sha", bits, words)
     order = F.struct((-F.char_length(F.coalesce(F.col(f"row.`{text}`"), F.lit("")))).alias("p"), F.col("row.doc_id").alias("i"))
     copies = split.where("maybe").groupBy("sha").agg(F.min_by("row", order).alias("row"))
     return split.where(~F.col("maybe")).select("row.*").unionByName(copies.select("row.*"))

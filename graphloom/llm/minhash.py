@@ -8,10 +8,12 @@
 3. Improved consistent weighted sampling (Ioffe) draws ``BANDS * ROWS`` samples (shingle, level) a text; two texts
    agree on a sample with the probability of their weighted Jaccard similarity. Bands of ``ROWS`` samples are the
    blocking keys: at similarity 0.8 a pair shares one of the bands with probability 0.9992.
-4. In each band bucket members are compared with one centre per round (the smallest member, then others), never
-   with each other: a bucket of n gives n - 1 pairs a round. Buckets of up to ``PAIRED`` members then compare all
-   members that are still in different classes, at most ``PAIRED`` / 2 pairs a member. Larger buckets go through
-   further centres until a round finds no new link.
+4. In each band bucket members are compared with one centre, never with each other: a bucket of n gives n - 1
+   pairs. The centre is the member that meets most others over all its bands, which in a family of copies is what
+   they descend from. Buckets of up to ``PAIRED`` members then compare all members that are still in different
+   classes, at most ``PAIRED`` / 2 pairs a member. Larger buckets go on to their next centres, until a round finds
+   no link or ``TURNS`` rounds are over; a link of two members there that no centre joins is left to the pair's
+   other bands.
 5. Every candidate pair is verified by exact weighted Jaccard similarity of the whole texts, and verified links
    are joined into classes by minimum-label propagation over written tables.
 
@@ -27,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forget, maybe_broadcast, written
-from .exact_dedup import TEXTS_PER_WORD, repeated_bits, split_by_filter
+from .common import documents, forget, maybe_broadcast, probed, release, written
+from .exact_dedup import TEXTS_PER_WORD, repeated_bits
 
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 3
 PAIRED = 64
-#: Rounds of centres before small buckets are paired, and at most for large ones.
-CENTRES, MORE_CENTRES = 2, 12
+#: Rounds: one centre for all buckets, then all open pairs of small ones and further centres for large ones.
+TURNS = 5
 RARE = 0.01
 TABLE_BITS = 18
 TABLE = 1 << TABLE_BITS
@@ -173,7 +175,7 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     keys = written(keyed.select("doc_id", "sha"), "near-keys")
     words = max(1, keys.count() // TEXTS_PER_WORD)
     bits = written(repeated_bits(keys.select("sha"), words), "near-bits")
-    split = split_by_filter(keyed.select("sha", "norm"), bits, words)
+    split = probed(keyed.select("sha", "norm"), "sha", bits, words)
     copies = split.where("maybe").groupBy("sha").agg(F.min("norm").alias("norm"))
     texts = split.where(~F.col("maybe")).select("sha", "norm").unionByName(copies)
     return keys.withColumnRenamed("sha", "v"), written(texts.withColumnRenamed("sha", "v"), "near-texts")
@@ -270,36 +272,40 @@ def classes(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     shipped = spark.sparkContext.broadcast(inverse_frequencies(texts))
     bands = written(banded(texts, shipped), "near-bands")
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    members = written(bands.join(shared, "band"), "near-members")
+    members = bands.join(shared, "band")
+    # How many others a text meets over its bands: what a family of copies descends from meets the most.
+    met = written(members.groupBy("v").agg(F.sum("size").alias("met")), "near-met")
+    members = written(members.join(met, "v"), "near-members")
     forget(bands)
     edges = written(members.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0), "near-links")
-    labels, done, size = edges.select(F.col("a").alias("v"), F.col("b").alias("c")), edges, 0
-    for turn in range(MORE_CENTRES):
+    labels = edges.select(F.col("a").alias("v"), F.col("b").alias("c"))
+    tried = members.select("band", "v").limit(0)
+    done = edges
+    for turn in range(TURNS):
         now = members.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        now = written(now, "near-now")
-        # A bucket in one class is finished; one of at most PAIRED members pairs what is left and is finished too.
-        open_ = now.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("v", "c"), F.xxhash64("v", F.lit(turn)) if turn else F.col("v")).alias("centre")).where(F.col("low") != F.col("high")).drop("low", "high")
-        if turn > CENTRES:
+        if turn > 1:  # small buckets are finished
             now = now.where(F.col("size") > PAIRED)
-        if turn == CENTRES:
-            left = now.where(F.col("size") <= PAIRED).join(open_, "band").select("band", "v", "c")
+        state = now.groupBy("band", "size").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+        now = written(now.join(state.where(F.col("low") != F.col("high")).select("band"), "band"), "near-open")
+        stars = now if turn == 0 else now.where(F.col("size") > PAIRED)
+        centre = F.max_by(F.struct("v", "c"), F.struct("met", "v")).alias("centre")
+        centres = written(stars.join(tried, ["band", "v"], "left_anti").groupBy("band").agg(centre), "near-centres")
+        tried = tried.union(centres.select("band", "centre.v"))
+        pairs = stars.join(centres, "band").where(F.col("c") != F.col("centre.c")).select(F.greatest("v", "centre.v").alias("a"), F.least("v", "centre.v").alias("b"))
+        if turn == 1:
+            left = now.where(F.col("size") <= PAIRED).select("band", "v", "c")
             right = left.select("band", F.col("v").alias("v2"), F.col("c").alias("c2"))
-            pairs = left.join(right, "band").where((F.col("c") != F.col("c2")) & (F.col("v") > F.col("v2"))).select(F.col("v").alias("a"), F.col("v2").alias("b"))
-        else:
-            pairs = now.join(open_, "band").where(F.col("c") != F.col("centre.c")).select(F.greatest("v", "centre.v").alias("a"), F.least("v", "centre.v").alias("b"))
+            pairs = pairs.union(left.join(right, "band").where((F.col("c") != F.col("c2")) & (F.col("v") > F.col("v2"))).select(F.col("v").alias("a"), F.col("v2").alias("b")))
         pairs = written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
         forget(now)
-        if not pairs.head(1):
-            if turn > CENTRES:
-                break
-            continue
         done = done.union(pairs)
         links = written(verified(pairs, texts, shipped, similar), "near-links")
         if links.head(1):
             edges = edges.union(links)
             labels = components(edges)
-        elif turn > CENTRES:
+        elif turn > 1:
             break
+        release(spark)
     return labels
 
 
