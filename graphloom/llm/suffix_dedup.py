@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, forget, maybe_broadcast, written
+from .common import bloom, documents, forget, probed, release, written
 
 LENGTH = 200
 Q = 50
@@ -120,7 +120,7 @@ def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 def _refined(batches):
     """Rows sorted by gram, whole buckets in one task -> the byte runs that repeat: (row, first, last)."""
-    schema = pa.schema([("row", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
+    schema = pa.schema([("row", pa.binary()), ("first", pa.int64()), ("last", pa.int64())])
 
     def resolve(rows):
         ids, at, weight = [], [], []
@@ -159,18 +159,22 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     own = _named(docs, text).select("row", "whole")
 
     def first_pass(batches):
-        schema = pa.schema([("row", pa.string()), ("s0", pa.int64()), ("s1", pa.int64()), ("p", pa.int64()), ("gram", pa.int64()), ("wide", pa.int64())])
+        schema = pa.schema([("row", pa.binary()), ("s0", pa.int64()), ("s1", pa.int64()), ("p", pa.int64()), ("gram", pa.int64()), ("wide", pa.int64())])
         for b in batches:
             found = [ranges(raw) for raw in _raws(b.column("whole"))]
             n = np.array([len(x[0]) for x in found], np.int64)
             columns = [np.concatenate(x) for x in zip(*found)] if found else [[]] * 5
             rows = b.column("row").take(pa.array(np.repeat(np.arange(len(found)), n)))
-            yield pa.RecordBatch.from_arrays([rows.cast(pa.string()), *[pa.array(c, pa.int64()) for c in columns]], schema=schema)
-
-    all_ranges = written(own.mapInArrow(first_pass, "row string, s0 bigint, s1 bigint, p bigint, gram bigint, wide bigint"), "repeat-ranges")
-    grams = all_ranges.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("gram")
-    shared = written(all_ranges.join(grams, "gram", "left_semi"), "repeat-shared")
-    forget(all_ranges)
+            yield pa.RecordBatch.from_arrays([rows.cast(pa.binary()), *[pa.array(c, pa.int64()) for c in columns]], schema=schema)
+
+    all_ranges = written(own.mapInArrow(first_pass, "row binary, s0 bigint, s1 bigint, p bigint, gram bigint, wide bigint"), "repeat-ranges")
+    grams = written(all_ranges.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("gram"), "repeat-grams")
+    bits, n_words = bloom(grams, "gram", "repeat-bits")
+    # The few false positives go on as buckets of one range and drop out below.
+    shared = written(probed(all_ranges, "gram", bits, n_words).where("maybe").drop("maybe"), "repeat-shared")
+    for old in (all_ranges, grams, bits):
+        forget(old)
+    release(docs.sparkSession)
     # Equal ranges shrink to one row per bucket id and task before they move.
     wide = shared.groupBy("gram", "wide").agg(F.count("*").alias("times"), F.min(F.struct("row", "s0", "s1", "p")).alias("one"))
     wide = written(wide, "repeat-wide")
@@ -184,7 +188,7 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     by_row = todo.groupBy("row").agg(F.collect_list(F.struct("gram", "times", "n", "s0", "s1", "p")).alias("todo"))
 
     def contexts(batches):
-        schema = pa.schema([("row", pa.string()), ("gram", pa.int64()), ("times", pa.int64()), ("n", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("p", pa.int64()), ("context", pa.binary())])
+        schema = pa.schema([("row", pa.binary()), ("gram", pa.int64()), ("times", pa.int64()), ("n", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("p", pa.int64()), ("context", pa.binary())])
         for b in batches:
             out: dict = {f.name: [] for f in schema}
             for row, raw, items in zip(b.column("row").to_pylist(), b.column("whole").cast(pa.binary()), b.column("todo").to_pylist()):
@@ -196,13 +200,17 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                     out["context"].append(data[x["s0"] : x["s1"] - 1 + LENGTH])
             yield _batch(out, schema)
 
-    kinds = "row string, gram bigint, times bigint, n bigint, s0 bigint, s1 bigint, p bigint, context binary"
-    texts = own.join(by_row, "row").dropDuplicates(["row"])
+    kinds = "row binary, gram bigint, times bigint, n bigint, s0 bigint, s1 bigint, p bigint, context binary"
+    # Only texts with something to do move.
+    bits, n_words = bloom(todo.select("row").distinct(), "row", "repeat-bits")
+    texts = probed(own, "row", bits, n_words).where("maybe").join(by_row, "row")
     detail = written(texts.select("row", "whole", "todo").mapInArrow(contexts, kinds), "repeat-contexts")
-    usual = detail.where(F.col("n") <= HOT).repartition("gram").sortWithinPartitions("gram").mapInArrow(_refined, "row string, first bigint, last bigint")
+    forget(bits)
+    release(docs.sparkSession)
+    usual = detail.where(F.col("n") <= HOT).repartition("gram").sortWithinPartitions("gram").mapInArrow(_refined, "row binary, first bigint, last bigint")
 
     def windows(batches):
-        schema = pa.schema([("row", pa.string()), ("start", pa.int64()), ("times", pa.int64()), ("gram", pa.int64()), ("distance", pa.int64()), ("id", pa.int64())])
+        schema = pa.schema([("row", pa.binary()), ("start", pa.int64()), ("times", pa.int64()), ("gram", pa.int64()), ("distance", pa.int64()), ("id", pa.int64())])
         for b in batches:
             rows = zip(b.column("row").to_pylist(), b.column("gram").to_pylist(), b.column("times").to_pylist(), b.column("s0").to_pylist(), b.column("s1").to_pylist(), b.column("p").to_pylist(), _raws(b.column("context")))
             for row, gram, times, s0, s1, p, context in rows:
@@ -213,7 +221,7 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = [done, usual]
     hot = detail.where(F.col("n") > HOT)
     if hot.head(1):
-        each = hot.mapInArrow(windows, "row string, start bigint, times bigint, gram bigint, distance bigint, id bigint")
+        each = hot.mapInArrow(windows, "row binary, start bigint, times bigint, gram bigint, distance bigint, id bigint")
         key = ["gram", "distance", "id"]
         twice = each.groupBy(*key).agg(F.sum("times").alias("n")).where(F.col("n") > 1).select(*key)
         parts.append(each.where(F.col("times") == 1).join(twice, key, "left_semi").select("row", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("last")))
@@ -223,13 +231,14 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     found = written(runs.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "repeat-runs")
     for old in (wide, todo, detail, shared):
         forget(old)
+    release(docs.sparkSession)
     return found
 
 
 def _named(docs: DataFrame, text: str) -> DataFrame:
     """Rows packed, with their name and whole text."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64(whole)))
+    name = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), whole).cast("binary")))
     return docs.select(F.struct("*").alias("packed"), name.alias("row"), whole.alias("whole"))
 
 
@@ -246,9 +255,11 @@ def _merged(runs: list[dict] | None) -> list[tuple[int, int]]:
 def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``kept_bytes`` (what is left of the text's UTF-8 bytes), ``removed`` (array of first, last) and ``n_bytes``."""
     found = repeats(docs, text)
-    named = _named(docs, text)
-    # The narrow side is broadcast while it is small; beyond that both sides shuffle by row name.
-    joined = named.join(maybe_broadcast(found, 50_000), "row", "left")
+    # Texts without repeats pass straight through, the others meet their runs.
+    bits, n_words = bloom(found.select("row"), "row", "repeat-bits")
+    named = probed(_named(docs, text), "row", bits, n_words)
+    clean = named.where(~F.col("maybe")).withColumn("runs", F.lit(None).cast(found.schema["runs"].dataType))
+    joined = clean.unionByName(named.where("maybe").join(found, "row", "left"))
     fields = list(docs.schema.fields)
     schema = T.StructType([*fields, T.StructField("kept_bytes", T.BinaryType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))), T.StructField("n_bytes", T.LongType())])
     flat = joined.select(*[F.col(f"packed.`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)], F.col("whole").alias("w"), F.col("runs").alias("r"))
