@@ -33,10 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, maybe_broadcast, written
+from .common import Memo, documents, maybe_broadcast, written
 
 CAPACITY = 2048
-REMEMBER = 500_000
+#: Words and pieces remembered, twice over.
+WORDS, PIECES = 300_000, 400_000
 #: Characters tokenised at once; longer texts are cut at white space, which the tokenizer drops anyway.
 WINDOW = 1 << 20
 #: Controls that str.split() takes for white space and the tokenizer doesn't.
@@ -59,28 +60,34 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        bare = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
-        self.bare = Tokenizer.from_str(json.dumps(bare))  # takes one piece as it is
+        self.model = self.tokenizer.model
         self.visible = {b: c for b, c in enumerate(_byte_characters())}
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.known))
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-            new = list(words)
-        if len(self.pieces) > REMEMBER:
-            self.pieces.clear()
-        lowered = (("".join(map(str.lower, w)) if "\u03a3" in w else w.lower()) for w in (unicodedata.normalize("NFC", w) for w in new))
-        cut = [self.find(w) for w in lowered]
-        fresh = list({x for xs in cut for x in xs}.difference(self.pieces))
-        shown = [x if x.isascii() and x.isalnum() else x.encode().decode("latin-1").translate(self.visible) for x in fresh]
-        self.pieces.update((x, array("I", e.ids).tobytes()) for x, e in zip(fresh, self.bare.encode_batch_fast(shown, add_special_tokens=False)))
-        self.known.update((w, b"".join([self.pieces[x] for x in xs])) for w, xs in zip(new, cut))
+        self.known = Memo(self._word, WORDS)
+        self.pieces = Memo(self._piece, PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.visible)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        low = word.lower() if word.isascii() else self._lowered(word)
+        if low.isalpha():  # one piece, as most words are
+            return self.pieces[low]
+        if low[-1] in ".," and low[:-1].isalpha():
+            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.find(low)))
+
+    @staticmethod
+    def _lowered(word: str) -> str:
+        word = unicodedata.normalize("NFC", word)
+        return "".join(map(str.lower, word)) if "\u03a3" in word else word.lower()
+
+    def ids(self, text: str) -> bytes:
+        if any(c in text for c in _CONTROLS):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(text) <= WINDOW:
+            return b"".join(map(self.known.__getitem__, text.split()))
+        return b"".join(b"".join(map(self.known.__getitem__, part.split())) for part in self._windows(text))
 
     def _windows(self, text: str):
         at = 0
@@ -92,38 +99,6 @@ class WordIds:
             at = cut
         yield text[at:]
 
-    def many(self, texts: list[str]):
-        """The packed ids of each text, in order."""
-        group, size = [], 0
-        for text in [*texts, None]:
-            if text is not None:
-                group.append(text)
-                size += len(text)
-            if group and (text is None or size >= WINDOW):
-                plain = [not any(c in t for c in _CONTROLS) for t in group]
-                if len(group) > 1 or len(group[0]) <= WINDOW:
-                    words: set[str] = set()
-                    for t, ok in zip(group, plain):
-                        if ok:
-                            words.update(t.split())
-                    self.learn(words)
-                for t, ok in zip(group, plain):
-                    if not ok:
-                        yield self._encode([t])[0]
-                    elif len(t) <= WINDOW:
-                        yield b"".join(map(self.known.__getitem__, t.split()))
-                    else:
-                        yield self._long(t)
-                group, size = [], 0
-
-    def _long(self, text: str) -> bytes:
-        parts = []
-        for window in self._windows(text):
-            words = window.split()
-            self.learn(set(words))
-            parts.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(parts)
-
 
 def _byte_characters() -> list[str]:
     """The visible character that stands for each byte in a byte-level vocabulary: itself, or 256 onwards."""
@@ -146,8 +121,8 @@ def pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, vocabu
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             at, cut, starts, lengths, sums, ranks, ids = [], [], [], [], [], [], []
-            for i, packed in enumerate(coder.many([x or "" for x in b.column(1).to_pylist()])):
-                packed += b"\0\0\0\0"
+            for i, packed in enumerate(b.column(1)):
+                packed = coder.ids(packed.as_py() or "") + b"\0\0\0\0"
                 n = len(packed) // 4
                 for k, start in enumerate(range(0, n, capacity)):
                     own = packed[4 * start : 4 * (start + capacity)]
