@@ -226,7 +226,7 @@ def typing_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("p_type").agg(e.alias("eligible"), u.alias("untyped")).withColumn("coverage", F.round(metrics.ratio(F.col("eligible"), F.col("eligible") + F.col("untyped")), 6))
 
 
-@query("SELECT event_type AS model, count(*) AS calls, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS input_tokens, round(sum(json_extract(props, '$.k')::BIGINT) * 0.25, 4) AS cost FROM events GROUP BY 1")
+@query("SELECT event_type AS model, count(*) AS calls, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS input_tokens, round(sum(json_extract(props, '$.k')::BIGINT)::DOUBLE * 0.25, 4) AS cost FROM events GROUP BY 1")
 def usage_cost_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
     return e.groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("calls"), F.sum("k").alias("input_tokens"), F.round(F.sum("k") * F.lit(0.25), 4).alias("cost"))
