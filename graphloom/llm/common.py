@@ -96,18 +96,13 @@ def probed(df: DataFrame, column: str, bits: DataFrame, words: int) -> DataFrame
 
 
 class Memo(dict):
-    """A dict that computes what is missing. At its bound the entries become the older half, which is looked at
-    before computing, and the half before it is dropped."""
+    """A dict that computes what is missing and starts anew at its bound."""
 
     def __init__(self, make, bound: int):
-        self.make, self.bound, self.old = make, bound, {}
+        self.make, self.bound = make, bound
 
     def __missing__(self, key):
         if len(self) >= self.bound:
-            self.old = dict(self)
             self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
+        value = self[key] = self.make(key)
         return value

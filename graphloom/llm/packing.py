@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import Memo, documents, maybe_broadcast, written
 
 CAPACITY = 2048
-#: Words and pieces remembered, twice over.
-WORDS, PIECES = 300_000, 400_000
+#: Words and pieces remembered; about 60 MB a Python worker.
+WORDS, PIECES = 250_000, 300_000
 #: Characters tokenised at once; longer texts are cut at white space, which the tokenizer drops anyway.
 WINDOW = 1 << 20
 #: Controls that str.split() takes for white space and the tokenizer doesn't.
