@@ -11,9 +11,9 @@
 4. In each band bucket members are compared with one centre, never with each other: a bucket of n gives n - 1
    pairs. The centre is the member that meets most others over all its bands, which in a family of copies is what
    they descend from. Buckets of up to ``PAIRED`` members then compare all members that are still in different
-   classes, at most ``PAIRED`` / 2 pairs a member. Larger buckets go on to their next centres, until a round finds
-   no link or ``TURNS`` rounds are over; a link of two members there that no centre joins is left to the pair's
-   other bands.
+   classes, at most ``PAIRED`` / 2 pairs a member. Larger buckets go on to their next centres for ``TURNS`` rounds
+   in all, while a round finds links. The texts of those that are then still in several classes are joined by
+   shared shingles with an exact prefix filter (``close_pairs``), which finds every link left among them.
 5. Every candidate pair is verified by exact weighted Jaccard similarity of the whole texts, and verified links
    are joined into classes by minimum-label propagation over written tables.
 
@@ -36,7 +36,8 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 3
 PAIRED = 64
-#: Rounds: one centre for all buckets, then all open pairs of small ones and further centres for large ones.
+#: Rounds: one centre for all buckets, then all open pairs of small ones and further centres for large ones. What
+#: is open after them is finished by ``close_pairs``.
 TURNS = 5
 RARE = 0.01
 TABLE_BITS = 18
@@ -181,8 +182,8 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     return keys.withColumnRenamed("sha", "v"), written(texts.withColumnRenamed("sha", "v"), "near-texts")
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """The idf of each bucket of shingle hashes, from the document frequencies over all distinct texts."""
+def shares(texts: DataFrame) -> np.ndarray:
+    """The share of the texts that have a shingle in each bucket of shingle hashes."""
 
     def count(batches):
         seen, n = np.zeros(TABLE, np.int64), 0
@@ -210,7 +211,12 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
         at = row["chunk"] * (TABLE // CHUNKS)
         counts[at : at + TABLE // CHUNKS] = np.frombuffer(row["counts"], np.int64)
         total = max(total, row["n"])
-    return (1 - np.log(np.clip(counts / total, RARE, 1))).astype(np.float32)
+    return counts / total
+
+
+def inverse_frequencies(texts: DataFrame) -> np.ndarray:
+    """The idf of each bucket of shingle hashes, from the document frequencies over all distinct texts."""
+    return (1 - np.log(np.clip(shares(texts), RARE, 1))).astype(np.float32)
 
 
 def banded(texts: DataFrame, shipped) -> DataFrame:
@@ -230,6 +236,45 @@ def banded(texts: DataFrame, shipped) -> DataFrame:
     return texts.select("v", "norm").mapInArrow(run, "band bigint, v binary")
 
 
+def prefixes(texts: DataFrame, shipped, order, similar: float) -> DataFrame:
+    """(shingle, left, whole, v, c): the shingles of each text, rarest first, from which at least ``similar`` of its
+    weight is ``left``. Two texts of that similarity have the first shingle they share among these."""
+
+    def run(batches):
+        for b in batches:
+            keys, lefts, wholes, of = [], [], [], []
+            for i, raw in enumerate(_raws(b.column("norm").cast(pa.binary()))):
+                h, tf = shingles(raw)
+                weight = (tf * shipped.value[_bucket(h)]).astype(np.float64)
+                by = np.lexsort((h, order.value[_bucket(h)]))
+                left = np.cumsum(weight[by][::-1])[::-1]
+                n = int((left >= similar * weight.sum() * (1 - 1e-5)).sum())
+                keys.append(h[by[:n]].view(np.int64))
+                lefts.append(left[:n])
+                wholes.append(np.full(n, weight.sum()))
+                of.append(np.full(n, i))
+            flat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+            rows = pa.array(flat(of, np.int64))
+            columns = [pa.array(flat(keys, np.int64)), pa.array(flat(lefts, np.float64)), pa.array(flat(wholes, np.float64)), b.column("v").take(rows), b.column("c").take(rows)]
+            yield pa.RecordBatch.from_arrays(columns, ["shingle", "left", "whole", "v", "c"])
+
+    return texts.select("v", "c", "norm").mapInArrow(run, "shingle bigint, left double, whole double, v binary, c binary")
+
+
+def close_pairs(texts: DataFrame, shipped, similar: float) -> DataFrame:
+    """(a, b): all pairs of texts (v, c, norm) of different classes c that may have that similarity.
+
+    Two texts share at most what is left from their first common shingle on, and at similarity s they share
+    s / (1 + s) of the sum of their weights; the lighter one has at least s of the heavier one's weight."""
+    order = texts.sparkSession.sparkContext.broadcast(shares(texts))
+    own = written(prefixes(texts, shipped, order, similar), "near-prefixes")
+    side = lambda k: own.select("shingle", *[F.col(x).alias(f"{x}_{k}") for x in ("left", "whole", "v", "c")])
+    near = F.least("whole_a", "whole_b") >= F.greatest("whole_a", "whole_b") * (similar * (1 - 1e-5))
+    enough = F.least("left_a", "left_b") >= (F.col("whole_a") + F.col("whole_b")) * (similar / (1 + similar) * (1 - 1e-5))
+    met = side("a").join(side("b"), "shingle").where((F.col("v_a") > F.col("v_b")) & (F.col("c_a") != F.col("c_b")) & near & enough)
+    return met.select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shipped, similar: float = SIMILAR) -> DataFrame:
     """The (a, b) pairs whose whole texts have at least that weighted Jaccard similarity."""
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "near-needed")
@@ -306,6 +351,18 @@ def classes(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
         elif turn > 1:
             break
         release(spark)
+    # Large buckets that are still in several classes: all their texts meet by shingles, whatever the bucket.
+    now = members.where(F.col("size") > PAIRED).join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    state = now.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high"))
+    still = written(now.join(state.select("band"), "band").select("v", "c").distinct(), "near-still")
+    if still.head(1):
+        open_texts = written(texts.join(maybe_broadcast(still, 500_000), "v").select("v", "c", "norm"), "near-open-texts")
+        pairs = written(close_pairs(open_texts, shipped, similar).join(done, ["a", "b"], "left_anti"), "near-pairs")
+        forget(open_texts)
+        links = written(verified(pairs, texts, shipped, similar), "near-links")
+        if links.head(1):
+            labels = components(edges.union(links))
+        release(spark)
     return labels
 
 
