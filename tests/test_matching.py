@@ -66,3 +66,11 @@ def test_worked_metric_example_and_zero_counts(spark):
     assert (got["b"].precision, got["b"].recall, got["b"].f1) == (0.0, 0.0, 0.0)
     none = metrics.with_prf(spark.createDataFrame([(0, 0, 3)], "tp int, predicted int, gold int"), none=1.0).first()
     assert (none.precision, none.recall, none.f1) == (1.0, 0.0, 0.0)
+
+
+def test_texts_without_tokens_meet(spark, tmp_path):
+    from graphloom.plans.similarity import token_jaccard_join
+
+    rows = [(1, "", "en"), (2, "!!! ...", "en"), (3, "", "de"), (4, "word", "en"), (5, None, "en"), (6, "Word.", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in token_jaccard_join(spark, str(tmp_path)).collect()) == [(1, 2, 1.0), (4, 6, 1.0)]
