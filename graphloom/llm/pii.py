@@ -103,9 +103,12 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _context(text: Column, x: Column) -> Column:
-    """Words near a span, lower-cased and distinct. A word that touches the window's outer edge is left out."""
+    """Words near a span, lower-cased and distinct. A word that the window's outer edge may cut is left out; the
+    text's own edges cut none."""
     left = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
     right = F.substring(text, x["end"] + 1, F.lit(CONTEXT))
+    left = F.when(x["start"] <= CONTEXT, F.concat(F.lit(" "), left)).otherwise(left)
+    right = F.when(x["end"] + CONTEXT >= F.length(text), F.concat(right, F.lit(" "))).otherwise(right)
     before = F.regexp_extract_all(left, F.lit(f"(?<=[^{WORD}])[{WORD}]{{{LETTERS},}}"), F.lit(0))
     after = F.regexp_extract_all(right, F.lit(f"[{WORD}]{{{LETTERS},}}(?=[^{WORD}])"), F.lit(0))
     return F.array_distinct(F.transform(F.concat(before, after), F.lower))

@@ -50,3 +50,10 @@ def test_disclosing_terms_are_found_and_removed(spark, nothing):
 def test_sanitising_merges_overlaps(spark):
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(no).alias("no"), F.lit(b).alias("end"), F.lit("").alias("value")) for a, no, b in ((2, 0, 5), (4, 2, 7), (9, 4, 10))])
     assert spark.range(1).select(pii.sanitised(F.lit("0123456789x"), spans)).first()[0] == "01[EMAIL]78x"
+
+
+def test_words_at_the_edges_of_a_text_are_context(spark):
+    far = "y" * 80
+    rows = [("Zorblax mail z@y.org came end", 13, 20), (f"{far} mail z@y.org came {far}", 86, 93)]
+    found = spark.createDataFrame(rows, "text string, start int, end int").select(pii._context(F.col("text"), F.struct("start", "end")).alias("c")).collect()
+    assert [sorted(r.c) for r in found] == [["came", "end", "mail", "zorblax"], ["came", "mail"]]
