@@ -37,7 +37,7 @@ def to_media(raw: bytes) -> tuple[bytes, int]:
     files = []
     for at in range(0, len(rows), ROWS):
         own = rows[at : at + ROWS]
-        files.append(webp.encode(np.concatenate([own, np.full((*own.shape[:2], 1), 255, np.uint8)], 2), even=True))
+        files.append(webp.encode(np.concatenate([own, np.full((*own.shape[:2], 1), 255, np.uint8)], 2), cache_bits=6, copies=True))
     return b"".join(files), len(payload)
 
 

@@ -55,3 +55,9 @@ def test_long_payloads_take_several_images(monkeypatch):
     monkeypatch.setattr(media, "ROWS", 3)
     stored, n = media.to_media(b"ab" * 1000)
     assert len(list(media.images(stored))) == 4 and media.from_media(stored).rstrip(b" ") == b"ab" * 1000 and n == 2112
+
+
+def test_stored_form_is_compressed_and_read_back():
+    raw = ("the same line again and again, é\n" * 200).encode()
+    stored, size = media.to_media(raw)
+    assert media.from_media(stored)[: len(raw)] == raw and len(stored) < size / 4
