@@ -2,20 +2,20 @@
 
 1. A text is normalised to lower-cased runs of letters, digits and non-ASCII characters. Texts equal in that form
    are one vertex; they are found by the two-pass Bloom filter of ``exact_dedup``, so only possible copies move.
-2. Shingles are five words (a shorter text is one shingle). Document frequencies of all distinct texts are
-   counted in a hashed table of fixed size; weight = tf * (1 + ln(1 / share)), where a shingle in under ``RARE``
-   of the texts counts as being in that share. The table is 1 MB whatever the corpus.
+2. Shingles are five words (a shorter text is one shingle), weight = tf * (1 + ln(N / df)) with the shingle's true
+   document frequency over the N distinct texts. Texts are cut into parts of about ``PART`` shingles. A part sends
+   each of its distinct shingles once, packed by bucket of shingle hashes, so that a shingle of a third of all texts
+   is a few rows; a bucket answers with the frequencies above one, and each part meets its answers and texts again.
 3. Improved consistent weighted sampling (Ioffe) draws ``BANDS * ROWS`` samples (shingle, level) a text; two texts
    agree on a sample with the probability of their weighted Jaccard similarity. Bands of ``ROWS`` samples are the
    blocking keys: at similarity 0.8 a pair shares one of the bands with probability 0.9992.
-4. In each band bucket members are compared with one centre, never with each other: a bucket of n gives n - 1
-   pairs. The centre is the member that meets most others over all its bands, which in a family of copies is what
-   they descend from. Buckets of up to ``PAIRED`` members then compare all members that are still in different
-   classes, at most ``PAIRED`` / 2 pairs a member. Larger buckets go on to their next centres for ``TURNS`` rounds
-   in all, while a round finds links. The texts of those that are then still in several classes are joined by
-   shared shingles with an exact prefix filter (``close_pairs``), which finds every link left among them.
+4. Members of a band bucket are first compared with one centre, so that a bucket of n gives n - 1 pairs. The centre is
+   the member that meets most others over all its bands, which in a family of copies is what they descend from.
+   Buckets of up to ``PAIRED`` members then compare all members that are still in different classes, and larger ones
+   have further centres from other classes. The texts of large buckets that are then still in several classes are
+   joined by shared shingles with an exact prefix filter (``close_pairs``), which finds every link left among them.
 5. Every candidate pair is verified by exact weighted Jaccard similarity of the whole texts, and verified links
-   are joined into classes by minimum-label propagation over written tables.
+   are joined into classes by minimum-label propagation over the graph of the classes so far.
 
 Defined results: null text = empty text; texts without words are copies of one another; null doc_id sorts before
 all others; repeated rows share a class; rows with one doc_id and equal words count as one document in the
@@ -26,23 +26,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forget, maybe_broadcast, probed, release, written
+from .common import documents, forget, maybe_broadcast, probed, release, tidy, written
 from .exact_dedup import TEXTS_PER_WORD, repeated_bits
 
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 3
 PAIRED = 64
-#: Rounds: one centre for all buckets, then all open pairs of small ones and further centres for large ones. What
-#: is open after them is finished by ``close_pairs``.
-TURNS = 5
-RARE = 0.01
-TABLE_BITS = 18
-TABLE = 1 << TABLE_BITS
-CHUNKS = 64
+#: Rounds of centres from other classes in large buckets, before what is open is finished by ``close_pairs``.
+TURNS = 2
+#: Shingles of a part, and distinct texts for each bucket of shingle hashes.
+PART, TEXTS_A_BUCKET = 1 << 20, 4096
 #: Bytes of a text hashed at once.
 WINDOW = 1 << 21
 
@@ -115,18 +113,20 @@ def shingles(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(_mix(h), return_counts=True)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def weights(tf: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    return tf * (1 + np.log(n / df))
 
 
-def weighted_jaccard(a: tuple, b: tuple, idf: np.ndarray) -> float:
-    """Sum of minima over sum of maxima of tf * idf. Two empty texts are equal."""
-    (ha, ta), (hb, tb) = a, b
+def weighted_jaccard(a: tuple, b: tuple) -> float:
+    """Sum of minima over sum of maxima of weights; a and b are (sorted shingles, weights). Two empty texts are equal."""
+    (ha, wa), (hb, wb) = a, b
     if not len(ha) or not len(hb):
         return float(len(ha) == len(hb))
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    shared = (np.minimum(ta[ia], tb[ib]) * idf[_bucket(ha[ia])]).sum()
-    return float(shared / ((ta * idf[_bucket(ha)]).sum() + (tb * idf[_bucket(hb)]).sum() - shared))
+    at = np.searchsorted(ha, hb)
+    at[at == len(ha)] = 0
+    same = ha[at] == hb
+    shared = np.minimum(wa[at[same]], wb[same]).sum()
+    return float(shared / (wa.sum() + wb.sum() - shared))
 
 
 def signature(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -169,129 +169,216 @@ def _vertex(norm):
     return F.substring(F.unhex(F.sha2(norm.cast("binary"), 256)), 1, 16)
 
 
-def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, v) of every row, and (v, norm) of every distinct normalised text; both written."""
+def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, v) of every row, written; (v, norm) of every distinct normalised text; the number of rows."""
     own = docs.select("doc_id", normalised(F.col(text)).alias("norm"))
     keyed = own.select("doc_id", _vertex(F.col("norm")).alias("sha"), "norm")
     keys = written(keyed.select("doc_id", "sha"), "near-keys")
-    words = max(1, keys.count() // TEXTS_PER_WORD)
+    rows = keys.count()
+    words = max(1, rows // TEXTS_PER_WORD)
     bits = written(repeated_bits(keys.select("sha"), words), "near-bits")
     split = probed(keyed.select("sha", "norm"), "sha", bits, words)
     copies = split.where("maybe").groupBy("sha").agg(F.min("norm").alias("norm"))
     texts = split.where(~F.col("maybe")).select("sha", "norm").unionByName(copies)
-    return keys.withColumnRenamed("sha", "v"), written(texts.withColumnRenamed("sha", "v"), "near-texts")
+    return keys.withColumnRenamed("sha", "v"), texts.withColumnRenamed("sha", "v"), rows
 
 
-def shares(texts: DataFrame) -> np.ndarray:
-    """The share of the texts that have a shingle in each bucket of shingle hashes."""
-
-    def count(batches):
-        seen, n = np.zeros(TABLE, np.int64), 0
-        for b in batches:
-            for raw in _raws(b.column("norm").cast(pa.binary())):
-                n += 1
-                seen[np.unique(_bucket(shingles(raw)[0]))] += 1
-        width = TABLE // CHUNKS
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS)), pa.array([n] * CHUNKS), pa.array([seen[i * width : (i + 1) * width].tobytes() for i in range(CHUNKS)], pa.binary())], ["chunk", "n", "counts"])
-
-    def add(batches):
-        sums: dict[int, list] = {}
-        for b in batches:
-            for chunk, n, counts in zip(b.column("chunk").to_pylist(), b.column("n").to_pylist(), b.column("counts").to_pylist()):
-                own = sums.setdefault(chunk, [0, np.zeros(TABLE // CHUNKS, np.int64)])
-                own[0] += n
-                own[1] += np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], ["chunk", "n", "counts"])
-
-    schema = "chunk bigint, n bigint, counts binary"
-    # Fixed size: CHUNKS rows that make up one table of TABLE counts.
-    rows = texts.select("norm").mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect()
-    counts, total = np.zeros(TABLE), 1
-    for row in rows:
-        at = row["chunk"] * (TABLE // CHUNKS)
-        counts[at : at + TABLE // CHUNKS] = np.frombuffer(row["counts"], np.int64)
-        total = max(total, row["n"])
-    return counts / total
+def _parted(texts: DataFrame, bits: int) -> DataFrame:
+    """Written: texts that have words with the number of their part (bucket -1), and for each part and bucket of
+    2 ** bits the part's distinct shingles and in how many of its texts each occurs (null: in one each)."""
+    schema = "part bigint, bucket int, v binary, norm string, hashes binary, counts binary"
 
+    def run(batches):
+        base = TaskContext.get().partitionId() << 32
+        most = max(PART, 4 << bits)
+        held, size, part = [], 0, 0
+
+        def packed():
+            h, counts = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            blobs = [h[a:b].tobytes() for _, a, b in rows]
+            numbers = [counts[a:b].astype(np.uint32).tobytes() if counts[a:b].max() > 1 else None for _, a, b in rows]
+            return row(len(rows), [k for k, _, _ in rows], None, None, blobs, numbers)
+
+        def row(n, buckets, v, norm, hashes, counts):
+            none = lambda kind: pa.nulls(n, kind)
+            columns = [
+                pa.array(np.full(n, base + part)), pa.array(buckets, pa.int32()), none(pa.binary()) if v is None else v.cast(pa.binary()), none(pa.string()) if norm is None else norm.cast(pa.string()),
+                none(pa.binary()) if hashes is None else pa.array(hashes, pa.binary()), none(pa.binary()) if counts is None else pa.array(counts, pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["part", "bucket", "v", "norm", "hashes", "counts"])
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """The idf of each bucket of shingle hashes, from the document frequencies over all distinct texts."""
-    return (1 - np.log(np.clip(shares(texts), RARE, 1))).astype(np.float32)
+        for b in batches:
+            at = 0
+            for i, raw in enumerate(_raws(b.column("norm").cast(pa.binary()))):
+                held.append(shingles(raw)[0])
+                size += len(held[-1])
+                if size >= most or i == b.num_rows - 1:
+                    own = b.slice(at, i + 1 - at)
+                    own = own.filter(pa.array([len(x) > 0 for x in held[len(held) - own.num_rows :]]))
+                    yield row(own.num_rows, np.full(own.num_rows, -1), own.column("v"), own.column("norm"), None, None)
+                    at = i + 1
+                if size >= most:
+                    yield packed()
+                    held, size, part = [], 0, part + 1
+        if size:
+            yield packed()
+
+    return written(texts.select("v", "norm").mapInArrow(tidy(run), schema), "near-parts")
+
+
+def _frequencies(parts: DataFrame, bits: int) -> DataFrame:
+    """(part, hashes, counts): the shingles of each part that occur in two texts or more, and in how many."""
+
+    def add(blobs):
+        h = np.concatenate([x for _, x, _ in blobs])
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        n = np.concatenate([c for _, _, c in blobs])[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        total = np.empty(len(h), np.uint32)
+        total[order] = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(h)))).astype(np.uint32)
+        out, at = [], 0
+        for part, x, _ in blobs:
+            own = total[at : at + len(x)]
+            at += len(x)
+            if (own > 1).any():
+                out.append((part, x[own > 1].tobytes(), own[own > 1].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["part", "hashes", "counts"])
 
+    def run(batches):
+        last, held = None, []
+        for b in batches:
+            for bucket, part, h, c in zip(b.column("bucket").to_pylist(), b.column("part").to_pylist(), b.column("hashes"), b.column("counts")):
+                if bucket != last and held:
+                    yield add(held)
+                    held = []
+                last = bucket
+                own = np.frombuffer(h.as_py(), np.uint64)
+                held.append((part, own, np.frombuffer(c.as_py(), np.uint32) if c.is_valid else np.ones(len(own), np.uint32)))
+        if held:
+            yield add(held)
+
+    own = parts.where("bucket >= 0").select("bucket", "part", "hashes", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    return own.mapInArrow(tidy(run), "part bigint, hashes binary, counts binary")
+
+
+def weighed(texts: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """Written (v, norm, counts, bands) of the texts that have words, and their number: counts are the document
+    frequencies of the text's sorted distinct shingles as uint32."""
+    bits = max(4, min(20, (rows // TEXTS_A_BUCKET).bit_length()))
+    parts = _parted(texts, bits)
+    n = max(1, parts.where("bucket < 0").count())
+    # The answers of a part come before its texts.
+    answers = _frequencies(parts, bits).select("part", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("v"), F.lit(None).cast("string").alias("norm"), "hashes", "counts")
+    own = parts.where("bucket < 0").select("part", F.lit(1).alias("kind"), "v", "norm", "hashes", "counts")
+    both = answers.unionByName(own).repartition("part").sortWithinPartitions("part", "kind")
 
-def banded(texts: DataFrame, shipped) -> DataFrame:
-    """(band, v): the blocking keys of every text that has words."""
+    def run(batches):
+        last, blobs, known, df = None, [], np.empty(0, np.uint64), np.empty(0, np.uint32)
+        for b in batches:
+            keys, counts, of = [], [], []
+            norms, hashes, frequencies = b.column("norm").cast(pa.binary()), b.column("hashes"), b.column("counts")
+            for i, (part, kind) in enumerate(zip(b.column("part").to_pylist(), b.column("kind").to_pylist())):
+                if part != last:
+                    last, blobs, known, df = part, [], np.empty(0, np.uint64), np.empty(0, np.uint32)
+                if kind == 0:
+                    blobs.append((np.frombuffer(hashes[i].as_py(), np.uint64), np.frombuffer(frequencies[i].as_py(), np.uint32)))
+                    continue
+                if blobs:
+                    known, df = np.concatenate([x for x, _ in blobs]), np.concatenate([x for _, x in blobs])
+                    order = np.argsort(known)
+                    known, df, blobs = known[order], df[order], []
+                h, tf = shingles(np.frombuffer(norms[i].as_buffer(), np.uint8))
+                own = np.ones(len(h), np.uint32)
+                if len(known):
+                    at = np.searchsorted(known, h)
+                    at[at == len(known)] = 0
+                    hit = known[at] == h
+                    own[hit] = df[at[hit]]
+                keys.append(band_keys(signature(h, weights(tf, own, n))))
+                counts.append(own.tobytes())
+                of.append(i)
+            rows = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("v").take(rows), b.column("norm").take(rows), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["v", "norm", "counts", "bands"])
+
+    out = written(both.mapInArrow(tidy(run), "v binary, norm string, counts binary, bands array<bigint>"), "near-texts")
+    forget(parts)
+    release(texts.sparkSession)
+    return out, n
+
+
+def _vectors(texts: DataFrame, n: int) -> DataFrame:
+    """(v, h, w): sorted shingles and their weights as float64, from (v, norm, counts)."""
 
     def run(batches):
         for b in batches:
-            keys, of = [], []
-            for i, raw in enumerate(_raws(b.column("norm").cast(pa.binary()))):
+            hs, ws = [], []
+            for raw, counts in zip(_raws(b.column("norm").cast(pa.binary())), b.column("counts")):
                 h, tf = shingles(raw)
-                if len(h):
-                    keys.append(band_keys(signature(h, tf * shipped.value[_bucket(h)])))
-                    of.append(i)
-            v = b.column("v").take(pa.array(np.repeat(np.array(of, np.int64), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), v], ["band", "v"])
+                hs.append(h.tobytes()), ws.append(weights(tf, np.frombuffer(counts.as_py(), np.uint32), n).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], ["v", "h", "w"])
 
-    return texts.select("v", "norm").mapInArrow(run, "band bigint, v binary")
+    return texts.select("v", "norm", "counts").mapInArrow(tidy(run), "v binary, h binary, w binary")
 
 
-def prefixes(texts: DataFrame, shipped, order, similar: float) -> DataFrame:
+def prefixes(texts: DataFrame, n: int, similar: float) -> DataFrame:
     """(shingle, left, whole, v, c): the shingles of each text, rarest first, from which at least ``similar`` of its
     weight is ``left``. Two texts of that similarity have the first shingle they share among these."""
 
     def run(batches):
         for b in batches:
             keys, lefts, wholes, of = [], [], [], []
-            for i, raw in enumerate(_raws(b.column("norm").cast(pa.binary()))):
+            for i, (raw, counts) in enumerate(zip(_raws(b.column("norm").cast(pa.binary())), b.column("counts"))):
                 h, tf = shingles(raw)
-                weight = (tf * shipped.value[_bucket(h)]).astype(np.float64)
-                by = np.lexsort((h, order.value[_bucket(h)]))
-                left = np.cumsum(weight[by][::-1])[::-1]
-                n = int((left >= similar * weight.sum() * (1 - 1e-5)).sum())
-                keys.append(h[by[:n]].view(np.int64))
-                lefts.append(left[:n])
-                wholes.append(np.full(n, weight.sum()))
-                of.append(np.full(n, i))
+                df = np.frombuffer(counts.as_py(), np.uint32)
+                by = np.lexsort((h, df))
+                weight = weights(tf, df, n)[by]
+                left = np.cumsum(weight[::-1])[::-1]
+                few = int((left >= similar * weight.sum() * (1 - 1e-9)).sum())
+                # A shingle that no other text has joins nothing.
+                few = np.flatnonzero((df[by] > 1)[:few])
+                keys.append(h[by[few]].view(np.int64))
+                lefts.append(left[few])
+                wholes.append(np.full(len(few), weight.sum()))
+                of.append(np.full(len(few), i))
             flat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
             rows = pa.array(flat(of, np.int64))
             columns = [pa.array(flat(keys, np.int64)), pa.array(flat(lefts, np.float64)), pa.array(flat(wholes, np.float64)), b.column("v").take(rows), b.column("c").take(rows)]
             yield pa.RecordBatch.from_arrays(columns, ["shingle", "left", "whole", "v", "c"])
 
-    return texts.select("v", "c", "norm").mapInArrow(run, "shingle bigint, left double, whole double, v binary, c binary")
+    return texts.select("v", "c", "norm", "counts").mapInArrow(tidy(run), "shingle bigint, left double, whole double, v binary, c binary")
 
 
-def close_pairs(texts: DataFrame, shipped, similar: float) -> DataFrame:
-    """(a, b): all pairs of texts (v, c, norm) of different classes c that may have that similarity.
+def close_pairs(texts: DataFrame, n: int, similar: float) -> DataFrame:
+    """(a, b): all pairs of texts (v, c, norm, counts) of different classes c that may have that similarity.
 
     Two texts share at most what is left from their first common shingle on, and at similarity s they share
-    s / (1 + s) of the sum of their weights; the lighter one has at least s of the heavier one's weight."""
-    order = texts.sparkSession.sparkContext.broadcast(shares(texts))
-    own = written(prefixes(texts, shipped, order, similar), "near-prefixes")
+    s / (1 + s) of the sum of their weights; the lighter one has at least s of the heavier one's weight. Shingles
+    that only one class has, such as those of a large group of copies, meet nothing."""
+    own = written(prefixes(texts, n, similar), "near-prefixes")
+    mixed = own.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high")).select("shingle")
+    own = own.join(mixed, "shingle")
     side = lambda k: own.select("shingle", *[F.col(x).alias(f"{x}_{k}") for x in ("left", "whole", "v", "c")])
-    near = F.least("whole_a", "whole_b") >= F.greatest("whole_a", "whole_b") * (similar * (1 - 1e-5))
-    enough = F.least("left_a", "left_b") >= (F.col("whole_a") + F.col("whole_b")) * (similar / (1 + similar) * (1 - 1e-5))
+    near = F.least("whole_a", "whole_b") >= F.greatest("whole_a", "whole_b") * (similar * (1 - 1e-9))
+    enough = F.least("left_a", "left_b") >= (F.col("whole_a") + F.col("whole_b")) * (similar / (1 + similar) * (1 - 1e-9))
     met = side("a").join(side("b"), "shingle").where((F.col("v_a") > F.col("v_b")) & (F.col("c_a") != F.col("c_b")) & near & enough)
     return met.select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shipped, similar: float = SIMILAR) -> DataFrame:
+def verified(pairs: DataFrame, vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The (a, b) pairs whose whole texts have at least that weighted Jaccard similarity."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "near-needed")
-    own = texts.join(maybe_broadcast(needed, 500_000), "v", "left_semi")
-    both = pairs.join(own.select(F.col("v").alias("a"), F.col("norm").alias("ta")), "a").join(own.select(F.col("v").alias("b"), F.col("norm").alias("tb")), "b")
+    side = lambda k: vectors.select(F.col("v").alias(k), F.col("h").alias(f"h{k}"), F.col("w").alias(f"w{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches):
-        last = None, None
         for b in batches:
-            keep = []
-            for key, x, y in zip(b.column("b").to_pylist(), _raws(b.column("ta").cast(pa.binary())), _raws(b.column("tb").cast(pa.binary()))):
-                if last[0] != key:
-                    last = key, shingles(y)
-                keep.append(weighted_jaccard(shingles(x), last[1], shipped.value) >= similar)
+            of = lambda name, kind: (np.frombuffer(x.as_buffer(), kind) for x in b.column(name))
+            keep = [weighted_jaccard((ha, wa), (hb, wb)) >= similar for ha, wa, hb, wb in zip(of("ha", np.uint64), of("wa", np.float64), of("hb", np.uint64), of("wb", np.float64))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -308,68 +395,88 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "c")
         labels._graphloom_path = new._graphloom_path
         if not moved:
+            forget(both)
             return labels
 
 
-def classes(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(v, c) for every text that links to another."""
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (v, c), written, after ``links`` (a, b): only classes and the links between them take part."""
+    of = lambda k: labels.select(F.col("v").alias(k), F.col("c").alias(f"c{k}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    roots = components(between)
+    new = labels.join(roots.select(F.col("v").alias("c"), F.col("c").alias("root")), "c", "left")
+    new = written(new.select("v", F.coalesce("root", "c").alias("c")), "near-classes")
+    forget(labels), forget(roots)
+    return new
+
+
+def classes(texts: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
+    """(v, c), written, for the texts that share a band with another; texts are those of ``weighed``, n their number."""
     spark = texts.sparkSession
-    shipped = spark.sparkContext.broadcast(inverse_frequencies(texts))
-    bands = written(banded(texts, shipped), "near-bands")
+    bands = written(texts.select("v", F.explode("bands").alias("band")), "near-bands")
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    members = bands.join(shared, "band")
+    members = written(bands.join(shared, "band"), "near-shared")
+    forget(bands)
     # How many others a text meets over its bands: what a family of copies descends from meets the most.
     met = written(members.groupBy("v").agg(F.sum("size").alias("met")), "near-met")
-    members = written(members.join(met, "v"), "near-members")
-    forget(bands)
-    edges = written(members.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0), "near-links")
-    labels = edges.select(F.col("a").alias("v"), F.col("b").alias("c"))
-    tried = members.select("band", "v").limit(0)
-    done = edges
-    for turn in range(TURNS):
-        now = members.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        if turn > 1:  # small buckets are finished
-            now = now.where(F.col("size") > PAIRED)
-        state = now.groupBy("band", "size").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-        now = written(now.join(state.where(F.col("low") != F.col("high")).select("band"), "band"), "near-open")
-        stars = now if turn == 0 else now.where(F.col("size") > PAIRED)
+    vectors = written(_vectors(texts.join(met.select("v"), "v", "left_semi"), n), "near-vectors")
+    labels = written(met.select("v", F.col("v").alias("c")), "near-classes")
+    done = tried = None
+
+    def open_members() -> DataFrame:
+        now = members.join(labels, "v")
+        state = now.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high"))
+        return written(now.join(state.select("band"), "band"), "near-open")
+
+    for turn in range(1 + TURNS):
+        now = open_members() if turn else members.withColumn("c", F.col("v"))
+        stars = now.where(F.col("size") > PAIRED) if turn else now
+        others = stars.join(tried, ["band", "v"], "left_anti") if turn else stars
+        if turn:  # from a class whose members weren't centres yet, where there is one
+            fresh = ~F.coalesce(F.col("known"), F.lit(False))
+            old = tried.join(labels, "v").select("band", "c", F.lit(True).alias("known")).distinct()
+            others = others.join(old, ["band", "c"], "left").where(fresh)
         centre = F.max_by(F.struct("v", "c"), F.struct("met", "v")).alias("centre")
-        centres = written(stars.join(tried, ["band", "v"], "left_anti").groupBy("band").agg(centre), "near-centres")
-        tried = tried.union(centres.select("band", "centre.v"))
+        centres = written(others.join(met, "v").groupBy("band").agg(centre), "near-centres")
+        own = centres.select("band", "centre.v")
+        tried = tried.unionByName(own) if turn else own
         pairs = stars.join(centres, "band").where(F.col("c") != F.col("centre.c")).select(F.greatest("v", "centre.v").alias("a"), F.least("v", "centre.v").alias("b"))
         if turn == 1:
             left = now.where(F.col("size") <= PAIRED).select("band", "v", "c")
             right = left.select("band", F.col("v").alias("v2"), F.col("c").alias("c2"))
             pairs = pairs.union(left.join(right, "band").where((F.col("c") != F.col("c2")) & (F.col("v") > F.col("v2"))).select(F.col("v").alias("a"), F.col("v2").alias("b")))
-        pairs = written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
-        forget(now)
-        done = done.union(pairs)
-        links = written(verified(pairs, texts, shipped, similar), "near-links")
+        pairs = pairs.distinct()
+        pairs = written(pairs.join(done, ["a", "b"], "left_anti") if turn else pairs, "near-pairs")
+        done = done.union(pairs) if turn else pairs
+        links = written(verified(pairs, vectors, similar), "near-links")
+        if turn:
+            forget(now)
         if links.head(1):
-            edges = edges.union(links)
-            labels = components(edges)
-        elif turn > 1:
-            break
+            labels = joined(labels, links)
+        forget(links)
         release(spark)
     # Large buckets that are still in several classes: all their texts meet by shingles, whatever the bucket.
-    now = members.where(F.col("size") > PAIRED).join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    state = now.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high"))
-    still = written(now.join(state.select("band"), "band").select("v", "c").distinct(), "near-still")
+    now = open_members()
+    still = written(now.where(F.col("size") > PAIRED).select("v", "c").distinct(), "near-still")
+    forget(now)
     if still.head(1):
-        open_texts = written(texts.join(maybe_broadcast(still, 500_000), "v").select("v", "c", "norm"), "near-open-texts")
-        pairs = written(close_pairs(open_texts, shipped, similar).join(done, ["a", "b"], "left_anti"), "near-pairs")
+        open_texts = written(texts.join(still, "v").select("v", "c", "norm", "counts"), "near-open-texts")
+        pairs = written(close_pairs(open_texts, n, similar).join(done, ["a", "b"], "left_anti"), "near-pairs")
         forget(open_texts)
-        links = written(verified(pairs, texts, shipped, similar), "near-links")
+        links = written(verified(pairs, vectors, similar), "near-links")
         if links.head(1):
-            labels = components(edges.union(links))
+            labels = joined(labels, links)
         release(spark)
+    for old in (members, met, vectors):
+        forget(old)
     return labels
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, v (its normalised text's key), class_id (smallest doc_id), class_size."""
-    keys, texts = distinct_texts(docs, text)
-    labels = classes(texts, similar)
+    keys, texts, rows = distinct_texts(docs, text)
+    texts, n = weighed(texts, rows)
+    labels = classes(texts, n, similar)
     forget(texts)
     # Rows shrink to one per text and then to one per class by partial aggregation before they meet.
     per_text = written(keys.groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("n"), "doc_id")).alias("first"), F.count("*").alias("n")), "near-per-text")

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 from graphloom.llm import minhash
@@ -17,10 +18,13 @@ def test_classes_equal_brute_force(awkward):
     got = minhash.near_duplicates(awkward).collect()
     assert len(got) == len(rows)
     texts = sorted({norm(r.text) for r in rows})
-    shares = np.zeros(minhash.TABLE)
-    for t in texts:
-        shares[np.unique(minhash._bucket(shingled(t)[0]))] += 1 / len(texts)
-    idf = (1 - np.log(np.clip(shares, minhash.RARE, 1))).astype(np.float32)
+    df = Counter(h for t in texts for h in shingled(t)[0].tolist())
+    n = sum(len(shingled(t)[0]) > 0 for t in texts)
+
+    def weighed(t):
+        h, tf = shingled(t)
+        return h, minhash.weights(tf, np.array([df[x] for x in h.tolist()]), n)
+
     parent = {t: t for t in texts}
 
     def find(t):
@@ -30,7 +34,7 @@ def test_classes_equal_brute_force(awkward):
 
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if minhash.weighted_jaccard(shingled(a), shingled(b), idf) >= minhash.SIMILAR:
+            if minhash.weighted_jaccard(weighed(a), weighed(b)) >= minhash.SIMILAR:
                 parent[find(a)] = find(b)
     groups = {}
     for r in rows:
@@ -79,5 +83,59 @@ def test_families_on_one_template_are_all_found(spark):
     for family in range(90):
         own = block(8)
         rows += [(bytes([2 * family + k]), f"{own} {template} {block(20)}") for k in (0, 1)]
-    got = minhash.classes(spark.createDataFrame(rows, "v binary, norm string").coalesce(1)).collect()
+    texts, n = minhash.weighed(spark.createDataFrame(rows, "v binary, norm string").coalesce(1), len(rows))
+    got = minhash.classes(texts, n).collect()
     assert {r.v[0]: r.c[0] for r in got} == {i: i - i % 2 for i in range(180)}
+
+
+def test_document_frequencies_are_true_across_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 50)
+    rng = np.random.default_rng(4)
+    rows = [(bytes([k]), " ".join(f"w{x}" for x in rng.integers(0, 3, 40))) for k in range(60)]
+    texts, n = minhash.weighed(spark.createDataFrame(rows, "v binary, norm string").repartition(3), len(rows))
+    df = Counter(h for _, t in rows for h in shingled(t)[0].tolist())
+    got = texts.collect()
+    assert n == len(got) == 60
+    for r in got:
+        assert np.frombuffer(r.counts, np.uint32).tolist() == [df[h] for h in shingled(r.norm)[0].tolist()]
+
+
+def test_twins_in_a_template_family_are_found(spark):
+    """Buckets of hundreds: pairs in a family are just under the threshold, planted twins above it; against brute force."""
+    rng = np.random.default_rng(11)
+    word = lambda: f"u{rng.integers(0, 2**40)}"
+    template = [f"t{i}" for i in range(260)]
+    rows = []
+    for k in range(200):
+        text = template + [word() for _ in range(22)]
+        twin = [word() if 20 <= i < 22 else w for i, w in enumerate(text)]
+        rows += [(f"{k:03}a".encode(), " ".join(text)), (f"{k:03}b".encode(), " ".join(twin))]
+    rows += [(f"x{k:04}".encode(), " ".join(word() for _ in range(30))) for k in range(600)]
+    df = Counter(h for _, t in rows for h in shingled(t)[0].tolist())
+    weighed = []
+    for _, t in rows:
+        h, tf = shingled(t)
+        weighed.append((h, minhash.weights(tf, np.array([df[x] for x in h.tolist()]), len(rows))))
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(400):
+        for j in range(i):
+            if minhash.weighted_jaccard(weighed[i], weighed[j]) >= minhash.SIMILAR:
+                parent[find(i)] = find(j)
+    want = {}
+    for i in range(400):
+        want.setdefault(find(i), set()).add(rows[i][0])
+    assert max(map(len, want.values())) < 400  # the template alone makes no link
+    texts, n = minhash.weighed(spark.createDataFrame(rows, "v binary, norm string").repartition(2), len(rows))
+    got = {}
+    for r in minhash.classes(texts, n).collect():
+        got.setdefault(bytes(r.c), set()).add(bytes(r.v))
+    found = {frozenset(x) for x in got.values()}
+    links = [x for x in want.values() if len(x) > 1]
+    assert len(links) > 100
+    assert sum(frozenset(x) in found for x in links) >= 0.99 * len(links)
