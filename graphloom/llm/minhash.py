@@ -3,7 +3,7 @@
 1. A text is normalised to lower-cased runs of letters, digits and non-ASCII characters. Texts equal in that form
    are one vertex; they are found by the two-pass Bloom filter of ``exact_dedup``, so only possible copies move.
 2. Shingles are five words (a shorter text is one shingle), weight = tf * (1 + ln(N / df)) with the shingle's true
-   document frequency over the N distinct texts. Texts are cut into parts of about ``PART`` shingles. A part sends
+   document frequency over the N distinct texts. Texts are cut into parts of about ``PART`` bytes. A part sends
    each of its distinct shingles once, packed by bucket of shingle hashes, so that a shingle of a third of all texts
    is a few rows; a bucket answers with the frequencies above one, and each part meets its answers and texts again.
 3. Improved consistent weighted sampling (Ioffe) draws ``BANDS * ROWS`` samples (shingle, level) a text; two texts
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ BANDS, ROWS = 10, 3
 PAIRED = 64
 #: Rounds of centres from other classes in large buckets, before what is open is finished by ``close_pairs``.
 TURNS = 2
-#: Shingles of a part, and distinct texts for each bucket of shingle hashes.
-PART, TEXTS_A_BUCKET = 1 << 20, 4096
+#: Bytes of a part's texts, and distinct texts for each bucket of shingle hashes.
+PART, TEXTS_A_BUCKET = 1 << 22, 4096
 #: Bytes of a text hashed at once.
 WINDOW = 1 << 21
 
@@ -183,53 +184,50 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     return keys.withColumnRenamed("sha", "v"), texts.withColumnRenamed("sha", "v"), rows
 
 
-def _parted(texts: DataFrame, bits: int) -> DataFrame:
-    """Written: texts that have words with the number of their part (bucket -1), and for each part and bucket of
-    2 ** bits the part's distinct shingles and in how many of its texts each occurs (null: in one each)."""
-    schema = "part bigint, bucket int, v binary, norm string, hashes binary, counts binary"
+def _parted(texts: DataFrame) -> DataFrame:
+    """Written (part, v, norm): neighbouring texts, about ``PART`` bytes of them, have one part."""
 
     def run(batches):
-        base = TaskContext.get().partitionId() << 32
-        most = max(PART, 4 << bits)
-        held, size, part = [], 0, 0
-
-        def packed():
-            h, counts = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            blobs = [h[a:b].tobytes() for _, a, b in rows]
-            numbers = [counts[a:b].astype(np.uint32).tobytes() if counts[a:b].max() > 1 else None for _, a, b in rows]
-            return row(len(rows), [k for k, _, _ in rows], None, None, blobs, numbers)
-
-        def row(n, buckets, v, norm, hashes, counts):
-            none = lambda kind: pa.nulls(n, kind)
-            columns = [
-                pa.array(np.full(n, base + part)), pa.array(buckets, pa.int32()), none(pa.binary()) if v is None else v.cast(pa.binary()), none(pa.string()) if norm is None else norm.cast(pa.string()),
-                none(pa.binary()) if hashes is None else pa.array(hashes, pa.binary()), none(pa.binary()) if counts is None else pa.array(counts, pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["part", "bucket", "v", "norm", "hashes", "counts"])
+        base, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            ends = size + np.cumsum(pc.binary_length(b.column("norm")).to_numpy(zero_copy_only=False).astype(np.int64))
+            size = int(ends[-1]) if len(ends) else size
+            yield pa.RecordBatch.from_arrays([pa.array(base + ends // PART), b.column("v"), b.column("norm")], ["part", "v", "norm"])
+
+    own = texts.where(F.col("norm").rlike("[^ ]"))
+    return written(own.select("v", "norm").mapInArrow(tidy(run), "part bigint, v binary, norm string"), "near-parts")
+
+
+def _shared_out(parts: DataFrame, bits: int) -> DataFrame:
+    """(bucket, part, hashes, counts): for each part and bucket of 2 ** bits, the part's distinct shingles and in how
+    many of its texts each occurs (null: in one each)."""
+
+    def packed(part, held):
+        h, counts = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        blobs = [h[a:b].tobytes() for _, a, b in rows]
+        numbers = [counts[a:b].astype(np.uint32).tobytes() if counts[a:b].max() > 1 else None for _, a, b in rows]
+        columns = [pa.array([k for k, _, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array(blobs, pa.binary()), pa.array(numbers, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "part", "hashes", "counts"])
 
+    def run(batches):
+        last, held = None, []
         for b in batches:
-            at = 0
-            for i, raw in enumerate(_raws(b.column("norm").cast(pa.binary()))):
+            for part, raw in zip(b.column("part").to_pylist(), _raws(b.column("norm").cast(pa.binary()))):
+                if part != last and held:
+                    yield packed(last, held)
+                    held = []
+                last = part
                 held.append(shingles(raw)[0])
-                size += len(held[-1])
-                if size >= most or i == b.num_rows - 1:
-                    own = b.slice(at, i + 1 - at)
-                    own = own.filter(pa.array([len(x) > 0 for x in held[len(held) - own.num_rows :]]))
-                    yield row(own.num_rows, np.full(own.num_rows, -1), own.column("v"), own.column("norm"), None, None)
-                    at = i + 1
-                if size >= most:
-                    yield packed()
-                    held, size, part = [], 0, part + 1
-        if size:
-            yield packed()
+        if held:
+            yield packed(last, held)
 
-    return written(texts.select("v", "norm").mapInArrow(tidy(run), schema), "near-parts")
+    return parts.select("part", "norm").mapInArrow(tidy(run), "bucket int, part bigint, hashes binary, counts binary")
 
 
 def _frequencies(parts: DataFrame, bits: int) -> DataFrame:
-    """(part, hashes, counts): the shingles of each part that occur in two texts or more, and in how many."""
+    """Written (part, hashes, counts): the shingles of each part that occur in two texts or more, and in how many."""
 
     def add(blobs):
         h = np.concatenate([x for _, x, _ in blobs])
@@ -260,20 +258,22 @@ def _frequencies(parts: DataFrame, bits: int) -> DataFrame:
         if held:
             yield add(held)
 
-    own = parts.where("bucket >= 0").select("bucket", "part", "hashes", "counts").repartition("bucket").sortWithinPartitions("bucket")
-    return own.mapInArrow(tidy(run), "part bigint, hashes binary, counts binary")
+    own = _shared_out(parts, bits).repartition("bucket").sortWithinPartitions("bucket")
+    return written(own.mapInArrow(tidy(run), "part bigint, hashes binary, counts binary"), "near-answers")
 
 
-def weighed(texts: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """Written (v, norm, counts, bands) of the texts that have words, and their number: counts are the document
-    frequencies of the text's sorted distinct shingles as uint32."""
+def weighed(texts: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """Of the texts that have words, both written: (part, v, norm); (v, counts, bands), where counts are the document
+    frequencies of the text's sorted distinct shingles as uint32; and the number of these texts."""
     bits = max(4, min(20, (rows // TEXTS_A_BUCKET).bit_length()))
-    parts = _parted(texts, bits)
-    n = max(1, parts.where("bucket < 0").count())
+    parts = _parted(texts)
+    n = max(1, parts.count())
+    answers = _frequencies(parts, bits)
+    release(texts.sparkSession)
     # The answers of a part come before its texts.
-    answers = _frequencies(parts, bits).select("part", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("v"), F.lit(None).cast("string").alias("norm"), "hashes", "counts")
-    own = parts.where("bucket < 0").select("part", F.lit(1).alias("kind"), "v", "norm", "hashes", "counts")
-    both = answers.unionByName(own).repartition("part").sortWithinPartitions("part", "kind")
+    first = answers.select("part", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("v"), F.lit(None).cast("string").alias("norm"), "hashes", "counts")
+    own = parts.select("part", F.lit(1).alias("kind"), "v", "norm", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("counts"))
+    both = first.unionByName(own).repartition("part").sortWithinPartitions("part", "kind")
 
     def run(batches):
         last, blobs, known, df = None, [], np.empty(0, np.uint64), np.empty(0, np.uint32)
@@ -301,12 +301,12 @@ def weighed(texts: DataFrame, rows: int) -> tuple[DataFrame, int]:
                 counts.append(own.tobytes())
                 of.append(i)
             rows = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("v").take(rows), b.column("norm").take(rows), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["v", "norm", "counts", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("v").take(rows), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["v", "counts", "bands"])
 
-    out = written(both.mapInArrow(tidy(run), "v binary, norm string, counts binary, bands array<bigint>"), "near-texts")
-    forget(parts)
+    out = written(both.mapInArrow(tidy(run), "v binary, counts binary, bands array<bigint>"), "near-bands")
+    forget(answers)
     release(texts.sparkSession)
-    return out, n
+    return parts, out, n
 
 
 def _vectors(texts: DataFrame, n: int) -> DataFrame:
@@ -410,16 +410,16 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return new
 
 
-def classes(texts: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
-    """(v, c), written, for the texts that share a band with another; texts are those of ``weighed``, n their number."""
+def classes(texts: DataFrame, banded: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
+    """(v, c), written, for the texts that share a band with another; the arguments are the results of ``weighed``."""
     spark = texts.sparkSession
-    bands = written(texts.select("v", F.explode("bands").alias("band")), "near-bands")
+    bands = banded.select("v", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     members = written(bands.join(shared, "band"), "near-shared")
-    forget(bands)
     # How many others a text meets over its bands: what a family of copies descends from meets the most.
     met = written(members.groupBy("v").agg(F.sum("size").alias("met")), "near-met")
-    vectors = written(_vectors(texts.join(met.select("v"), "v", "left_semi"), n), "near-vectors")
+    meeting = written(texts.join(met.select("v"), "v", "left_semi").select("v", "norm").join(banded.select("v", "counts"), "v"), "near-meeting")
+    vectors = written(_vectors(meeting, n), "near-vectors")
     labels = written(met.select("v", F.col("v").alias("c")), "near-classes")
     done = tried = None
 
@@ -460,14 +460,14 @@ def classes(texts: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
     still = written(now.where(F.col("size") > PAIRED).select("v", "c").distinct(), "near-still")
     forget(now)
     if still.head(1):
-        open_texts = written(texts.join(still, "v").select("v", "c", "norm", "counts"), "near-open-texts")
+        open_texts = written(meeting.join(still, "v").select("v", "c", "norm", "counts"), "near-open-texts")
         pairs = written(close_pairs(open_texts, n, similar).join(done, ["a", "b"], "left_anti"), "near-pairs")
         forget(open_texts)
         links = written(verified(pairs, vectors, similar), "near-links")
         if links.head(1):
             labels = joined(labels, links)
         release(spark)
-    for old in (members, met, vectors):
+    for old in (members, met, meeting, vectors):
         forget(old)
     return labels
 
@@ -475,9 +475,9 @@ def classes(texts: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, v (its normalised text's key), class_id (smallest doc_id), class_size."""
     keys, texts, rows = distinct_texts(docs, text)
-    texts, n = weighed(texts, rows)
-    labels = classes(texts, n, similar)
-    forget(texts)
+    texts, banded, n = weighed(texts, rows)
+    labels = classes(texts, banded, n, similar)
+    forget(texts), forget(banded)
     # Rows shrink to one per text and then to one per class by partial aggregation before they meet.
     per_text = written(keys.groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("n"), "doc_id")).alias("first"), F.count("*").alias("n")), "near-per-text")
     in_class = per_text.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))

@@ -83,18 +83,17 @@ def test_families_on_one_template_are_all_found(spark):
     for family in range(90):
         own = block(8)
         rows += [(bytes([2 * family + k]), f"{own} {template} {block(20)}") for k in (0, 1)]
-    texts, n = minhash.weighed(spark.createDataFrame(rows, "v binary, norm string").coalesce(1), len(rows))
-    got = minhash.classes(texts, n).collect()
+    got = minhash.classes(*minhash.weighed(spark.createDataFrame(rows, "v binary, norm string").coalesce(1), len(rows))).collect()
     assert {r.v[0]: r.c[0] for r in got} == {i: i - i % 2 for i in range(180)}
 
 
 def test_document_frequencies_are_true_across_parts(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "PART", 50)
+    monkeypatch.setattr(minhash, "PART", 1000)
     rng = np.random.default_rng(4)
     rows = [(bytes([k]), " ".join(f"w{x}" for x in rng.integers(0, 3, 40))) for k in range(60)]
-    texts, n = minhash.weighed(spark.createDataFrame(rows, "v binary, norm string").repartition(3), len(rows))
+    texts, banded, n = minhash.weighed(spark.createDataFrame(rows, "v binary, norm string").repartition(3), len(rows))
     df = Counter(h for _, t in rows for h in shingled(t)[0].tolist())
-    got = texts.collect()
+    got = texts.join(banded, "v").collect()
     assert n == len(got) == 60
     for r in got:
         assert np.frombuffer(r.counts, np.uint32).tolist() == [df[h] for h in shingled(r.norm)[0].tolist()]
@@ -131,9 +130,8 @@ def test_twins_in_a_template_family_are_found(spark):
     for i in range(400):
         want.setdefault(find(i), set()).add(rows[i][0])
     assert max(map(len, want.values())) < 400  # the template alone makes no link
-    texts, n = minhash.weighed(spark.createDataFrame(rows, "v binary, norm string").repartition(2), len(rows))
     got = {}
-    for r in minhash.classes(texts, n).collect():
+    for r in minhash.classes(*minhash.weighed(spark.createDataFrame(rows, "v binary, norm string").repartition(2), len(rows))).collect():
         got.setdefault(bytes(r.c), set()).add(bytes(r.v))
     found = {frozenset(x) for x in got.values()}
     links = [x for x in want.values() if len(x) > 1]
