@@ -2,8 +2,9 @@
 
 1. A text is normalised to lower-cased runs of letters, digits and non-ASCII characters. Texts equal in that form
    are one vertex; they are found by the two-pass Bloom filter of ``exact_dedup``, so only possible copies move.
-2. Shingles are five words (a shorter text is one shingle), weight = tf * (1 + ln(N / df)) with the shingle's true
-   document frequency over the N distinct texts. Texts are cut into parts of about ``PART`` bytes. A part sends
+2. Shingles are five words (a shorter text is one shingle), weight = tf * (1 + ln(N / df) / ln(N)) with the shingle's
+   true document frequency over the N distinct texts; the inverse frequency is taken relative to its largest value, so
+   that what a large family of near copies shares doesn't fade against each member's own edits. Texts are cut into parts of about ``PART`` bytes. A part sends
    each of its distinct shingles once, packed by bucket of shingle hashes, so that a shingle of a third of all texts
    is a few rows; a bucket answers with the frequencies above one, and each part meets its answers and texts again.
 3. Improved consistent weighted sampling (Ioffe) draws ``BANDS * ROWS`` samples (shingle, level) a text; two texts
@@ -11,9 +12,10 @@
    blocking keys: at similarity 0.8 a pair shares one of the bands with probability 0.9992.
 4. Members of a band bucket are first compared with one centre, so that a bucket of n gives n - 1 pairs. The centre is
    the member that meets most others over all its bands, which in a family of copies is what they descend from.
-   Buckets of up to ``PAIRED`` members then compare all members that are still in different classes, and larger ones
-   have further centres from other classes. The texts of large buckets that are then still in several classes are
-   joined by shared shingles with an exact prefix filter (``close_pairs``), which finds every link left among them.
+   Buckets of up to ``PAIRED`` members then compare all members that are still in different classes. The texts of
+   larger buckets that are still in several classes meet by shared shingles under an exact prefix filter instead:
+   ``TURNS`` rounds within random groups of about ``GROUP`` members of a shingle, which join most of a family, and then
+   all pairs of different classes that are left, so that every link among them is found.
 5. Every candidate pair is verified by exact weighted Jaccard similarity of the whole texts, and verified links
    are joined into classes by minimum-label propagation over the graph of the classes so far.
 
@@ -38,10 +40,13 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 3
 PAIRED = 64
-#: Rounds of centres from other classes in large buckets, before what is open is finished by ``close_pairs``.
-TURNS = 2
-#: Bytes of a part's texts, and distinct texts for each bucket of shingle hashes.
-PART, TEXTS_A_BUCKET = 1 << 22, 4096
+#: Rounds within random groups of so many members of a shingle, before all pairs that are left.
+TURNS, GROUP = 3, 128
+#: Bytes of a part's texts, at least, and distinct texts for each bucket of shingle hashes.
+PART, TEXTS_A_BUCKET = 1 << 18, 4096
+#: Bits of a shingle hash that travel beside its bucket. A bucket has a fixed number of texts, and so about one chance
+#: in 10 ** 8 that two of its shingles are taken for one, whatever the corpus.
+TRAVELLING = 48
 #: Bytes of a text hashed at once.
 WINDOW = 1 << 21
 
@@ -115,7 +120,17 @@ def shingles(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weights(tf: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
-    return tf * (1 + np.log(n / df))
+    return tf * (1 + np.log(n / df) / np.log(max(n, 2)))
+
+
+def _pack(h: np.ndarray) -> bytes:
+    """The lower ``TRAVELLING`` bits of each number."""
+    return h.astype(np.uint32).tobytes() + (h >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
 def weighted_jaccard(a: tuple, b: tuple) -> float:
@@ -184,29 +199,34 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     return keys.withColumnRenamed("sha", "v"), texts.withColumnRenamed("sha", "v"), rows
 
 
-def _parted(texts: DataFrame) -> DataFrame:
-    """Written (part, v, norm): neighbouring texts, about ``PART`` bytes of them, have one part."""
+def _parted(texts: DataFrame, size_of_part: int) -> DataFrame:
+    """Written (part, v, norm): neighbouring texts, about that many bytes of them, have one part."""
 
     def run(batches):
         base, size = TaskContext.get().partitionId() << 32, 0
         for b in batches:
             ends = size + np.cumsum(pc.binary_length(b.column("norm")).to_numpy(zero_copy_only=False).astype(np.int64))
             size = int(ends[-1]) if len(ends) else size
-            yield pa.RecordBatch.from_arrays([pa.array(base + ends // PART), b.column("v"), b.column("norm")], ["part", "v", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(base + ends // size_of_part), b.column("v"), b.column("norm")], ["part", "v", "norm"])
 
     own = texts.where(F.col("norm").rlike("[^ ]"))
     return written(own.select("v", "norm").mapInArrow(tidy(run), "part bigint, v binary, norm string"), "near-parts")
 
 
+def _travelling(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket and travelling bits of shingle hashes."""
+    return h >> np.uint64(64 - bits - TRAVELLING)
+
+
 def _shared_out(parts: DataFrame, bits: int) -> DataFrame:
     """(bucket, part, hashes, counts): for each part and bucket of 2 ** bits, the part's distinct shingles and in how
     many of its texts each occurs (null: in one each)."""
 
     def packed(part, held):
-        h, counts = np.unique(np.concatenate(held), return_counts=True)
-        cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        h, counts = np.unique(_travelling(np.concatenate(held), bits), return_counts=True)
+        cuts = np.searchsorted(h >> np.uint64(TRAVELLING), np.arange((1 << bits) + 1, dtype=np.uint64))
         rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        blobs = [h[a:b].tobytes() for _, a, b in rows]
+        blobs = [_pack(h[a:b]) for _, a, b in rows]
         numbers = [counts[a:b].astype(np.uint32).tobytes() if counts[a:b].max() > 1 else None for _, a, b in rows]
         columns = [pa.array([k for k, _, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array(blobs, pa.binary()), pa.array(numbers, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["bucket", "part", "hashes", "counts"])
@@ -227,9 +247,9 @@ def _shared_out(parts: DataFrame, bits: int) -> DataFrame:
 
 
 def _frequencies(parts: DataFrame, bits: int) -> DataFrame:
-    """Written (part, hashes, counts): the shingles of each part that occur in two texts or more, and in how many."""
+    """Written (part, bucket, hashes, counts): the shingles of each part that occur in two texts or more, and in how many."""
 
-    def add(blobs):
+    def add(bucket, blobs):
         h = np.concatenate([x for _, x, _ in blobs])
         order = np.argsort(h, kind="stable")
         h = h[order]
@@ -242,49 +262,49 @@ def _frequencies(parts: DataFrame, bits: int) -> DataFrame:
             own = total[at : at + len(x)]
             at += len(x)
             if (own > 1).any():
-                out.append((part, x[own > 1].tobytes(), own[own > 1].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["part", "hashes", "counts"])
+                out.append((part, bucket, _pack(x[own > 1]), own[own > 1].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["part", "bucket", "hashes", "counts"])
 
     def run(batches):
         last, held = None, []
         for b in batches:
             for bucket, part, h, c in zip(b.column("bucket").to_pylist(), b.column("part").to_pylist(), b.column("hashes"), b.column("counts")):
                 if bucket != last and held:
-                    yield add(held)
+                    yield add(last, held)
                     held = []
                 last = bucket
-                own = np.frombuffer(h.as_py(), np.uint64)
+                own = _unpack(h.as_py())
                 held.append((part, own, np.frombuffer(c.as_py(), np.uint32) if c.is_valid else np.ones(len(own), np.uint32)))
         if held:
-            yield add(held)
+            yield add(last, held)
 
     own = _shared_out(parts, bits).repartition("bucket").sortWithinPartitions("bucket")
-    return written(own.mapInArrow(tidy(run), "part bigint, hashes binary, counts binary"), "near-answers")
+    return written(own.mapInArrow(tidy(run), "part bigint, bucket int, hashes binary, counts binary"), "near-answers")
 
 
 def weighed(texts: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int]:
     """Of the texts that have words, both written: (part, v, norm); (v, counts, bands), where counts are the document
     frequencies of the text's sorted distinct shingles as uint32; and the number of these texts."""
-    bits = max(4, min(20, (rows // TEXTS_A_BUCKET).bit_length()))
-    parts = _parted(texts)
+    bits = max(4, min(16, (rows // TEXTS_A_BUCKET).bit_length()))
+    parts = _parted(texts, max(PART, 512 << bits))
     n = max(1, parts.count())
     answers = _frequencies(parts, bits)
     release(texts.sparkSession)
     # The answers of a part come before its texts.
-    first = answers.select("part", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("v"), F.lit(None).cast("string").alias("norm"), "hashes", "counts")
-    own = parts.select("part", F.lit(1).alias("kind"), "v", "norm", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("counts"))
+    first = answers.select("part", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("v"), F.lit(None).cast("string").alias("norm"), "bucket", "hashes", "counts")
+    own = parts.select("part", F.lit(1).alias("kind"), "v", "norm", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("counts"))
     both = first.unionByName(own).repartition("part").sortWithinPartitions("part", "kind")
 
     def run(batches):
         last, blobs, known, df = None, [], np.empty(0, np.uint64), np.empty(0, np.uint32)
         for b in batches:
             keys, counts, of = [], [], []
-            norms, hashes, frequencies = b.column("norm").cast(pa.binary()), b.column("hashes"), b.column("counts")
+            norms, buckets, hashes, frequencies = b.column("norm").cast(pa.binary()), b.column("bucket"), b.column("hashes"), b.column("counts")
             for i, (part, kind) in enumerate(zip(b.column("part").to_pylist(), b.column("kind").to_pylist())):
                 if part != last:
                     last, blobs, known, df = part, [], np.empty(0, np.uint64), np.empty(0, np.uint32)
                 if kind == 0:
-                    blobs.append((np.frombuffer(hashes[i].as_py(), np.uint64), np.frombuffer(frequencies[i].as_py(), np.uint32)))
+                    blobs.append((_unpack(hashes[i].as_py()) | np.uint64(buckets[i].as_py() << TRAVELLING), np.frombuffer(frequencies[i].as_py(), np.uint32)))
                     continue
                 if blobs:
                     known, df = np.concatenate([x for x, _ in blobs]), np.concatenate([x for _, x in blobs])
@@ -293,9 +313,10 @@ def weighed(texts: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, int]:
                 h, tf = shingles(np.frombuffer(norms[i].as_buffer(), np.uint8))
                 own = np.ones(len(h), np.uint32)
                 if len(known):
-                    at = np.searchsorted(known, h)
+                    short = _travelling(h, bits)
+                    at = np.searchsorted(known, short)
                     at[at == len(known)] = 0
-                    hit = known[at] == h
+                    hit = known[at] == short
                     own[hit] = df[at[hit]]
                 keys.append(band_keys(signature(h, weights(tf, own, n))))
                 counts.append(own.tobytes())
@@ -324,7 +345,7 @@ def _vectors(texts: DataFrame, n: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, n: int, similar: float) -> DataFrame:
-    """(shingle, left, whole, v, c): the shingles of each text, rarest first, from which at least ``similar`` of its
+    """Written (shingle, left, whole, v): the shingles of each text, rarest first, from which at least ``similar`` of its
     weight is ``left``. Two texts of that similarity have the first shingle they share among these."""
 
     def run(batches):
@@ -345,25 +366,28 @@ def prefixes(texts: DataFrame, n: int, similar: float) -> DataFrame:
                 of.append(np.full(len(few), i))
             flat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
             rows = pa.array(flat(of, np.int64))
-            columns = [pa.array(flat(keys, np.int64)), pa.array(flat(lefts, np.float64)), pa.array(flat(wholes, np.float64)), b.column("v").take(rows), b.column("c").take(rows)]
-            yield pa.RecordBatch.from_arrays(columns, ["shingle", "left", "whole", "v", "c"])
+            columns = [pa.array(flat(keys, np.int64)), pa.array(flat(lefts, np.float64)), pa.array(flat(wholes, np.float64)), b.column("v").take(rows)]
+            yield pa.RecordBatch.from_arrays(columns, ["shingle", "left", "whole", "v"])
 
-    return texts.select("v", "c", "norm", "counts").mapInArrow(tidy(run), "shingle bigint, left double, whole double, v binary, c binary")
+    return written(texts.select("v", "norm", "counts").mapInArrow(tidy(run), "shingle bigint, left double, whole double, v binary"), "near-prefixes")
 
 
-def close_pairs(texts: DataFrame, n: int, similar: float) -> DataFrame:
-    """(a, b): all pairs of texts (v, c, norm, counts) of different classes c that may have that similarity.
+def close_pairs(keyed: DataFrame, labels: DataFrame, similar: float, turn: int | None) -> DataFrame:
+    """(a, b): pairs of texts of different classes that may have that similarity and meet at one of their ``prefixes``:
+    all of them, or those within random groups, other ones each turn.
 
     Two texts share at most what is left from their first common shingle on, and at similarity s they share
     s / (1 + s) of the sum of their weights; the lighter one has at least s of the heavier one's weight. Shingles
     that only one class has, such as those of a large group of copies, meet nothing."""
-    own = written(prefixes(texts, n, similar), "near-prefixes")
-    mixed = own.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high")).select("shingle")
-    own = own.join(mixed, "shingle")
-    side = lambda k: own.select("shingle", *[F.col(x).alias(f"{x}_{k}") for x in ("left", "whole", "v", "c")])
+    now = keyed.join(labels, "v")
+    mixed = now.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where(F.col("low") != F.col("high"))
+    group = F.lit(0) if turn is None else F.pmod(F.xxhash64("v", F.lit(turn)), F.ceil(F.col("size") / GROUP)).cast("int")
+    now = written(now.join(mixed.select("shingle", "size"), "shingle").withColumn("part", group), "near-mixed")
+    names = ("left", "whole", "v", "c")
+    side = lambda k: now.select("shingle", "part", *[F.col(x).alias(f"{x}_{k}") for x in names])
     near = F.least("whole_a", "whole_b") >= F.greatest("whole_a", "whole_b") * (similar * (1 - 1e-9))
     enough = F.least("left_a", "left_b") >= (F.col("whole_a") + F.col("whole_b")) * (similar / (1 + similar) * (1 - 1e-9))
-    met = side("a").join(side("b"), "shingle").where((F.col("v_a") > F.col("v_b")) & (F.col("c_a") != F.col("c_b")) & near & enough)
+    met = side("a").join(side("b"), ["shingle", "part"]).where((F.col("v_a") > F.col("v_b")) & (F.col("c_a") != F.col("c_b")) & near & enough)
     return met.select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct()
 
 
@@ -421,53 +445,46 @@ def classes(texts: DataFrame, banded: DataFrame, n: int, similar: float = SIMILA
     meeting = written(texts.join(met.select("v"), "v", "left_semi").select("v", "norm").join(banded.select("v", "counts"), "v"), "near-meeting")
     vectors = written(_vectors(meeting, n), "near-vectors")
     labels = written(met.select("v", F.col("v").alias("c")), "near-classes")
-    done = tried = None
+    done = None
+
+    def linked(pairs: DataFrame) -> bool:
+        """Verify the pairs that weren't yet, and join classes."""
+        nonlocal labels, done
+        pairs = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "near-pairs")
+        done = done.union(pairs) if done is not None else pairs
+        links = written(verified(pairs, vectors, similar), "near-links")
+        found = bool(links.head(1))
+        if found:
+            labels = joined(labels, links)
+        forget(links)
+        release(spark)
+        return found
 
     def open_members() -> DataFrame:
         now = members.join(labels, "v")
         state = now.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high"))
         return written(now.join(state.select("band"), "band"), "near-open")
 
-    for turn in range(1 + TURNS):
-        now = open_members() if turn else members.withColumn("c", F.col("v"))
-        stars = now.where(F.col("size") > PAIRED) if turn else now
-        others = stars.join(tried, ["band", "v"], "left_anti") if turn else stars
-        if turn:  # from a class whose members weren't centres yet, where there is one
-            fresh = ~F.coalesce(F.col("known"), F.lit(False))
-            old = tried.join(labels, "v").select("band", "c", F.lit(True).alias("known")).distinct()
-            others = others.join(old, ["band", "c"], "left").where(fresh)
-        centre = F.max_by(F.struct("v", "c"), F.struct("met", "v")).alias("centre")
-        centres = written(others.join(met, "v").groupBy("band").agg(centre), "near-centres")
-        own = centres.select("band", "centre.v")
-        tried = tried.unionByName(own) if turn else own
-        pairs = stars.join(centres, "band").where(F.col("c") != F.col("centre.c")).select(F.greatest("v", "centre.v").alias("a"), F.least("v", "centre.v").alias("b"))
-        if turn == 1:
-            left = now.where(F.col("size") <= PAIRED).select("band", "v", "c")
-            right = left.select("band", F.col("v").alias("v2"), F.col("c").alias("c2"))
-            pairs = pairs.union(left.join(right, "band").where((F.col("c") != F.col("c2")) & (F.col("v") > F.col("v2"))).select(F.col("v").alias("a"), F.col("v2").alias("b")))
-        pairs = pairs.distinct()
-        pairs = written(pairs.join(done, ["a", "b"], "left_anti") if turn else pairs, "near-pairs")
-        done = done.union(pairs) if turn else pairs
-        links = written(verified(pairs, vectors, similar), "near-links")
-        if turn:
-            forget(now)
-        if links.head(1):
-            labels = joined(labels, links)
-        forget(links)
-        release(spark)
+    centres = members.join(met, "v").groupBy("band").agg(F.max_by("v", F.struct("met", "v")).alias("centre"))
+    stars = members.join(centres, "band").where(F.col("v") != F.col("centre"))
+    linked(stars.select(F.greatest("v", "centre").alias("a"), F.least("v", "centre").alias("b")).distinct())
+    now = open_members()
+    left = now.where(F.col("size") <= PAIRED).select("band", "v", "c")
+    right = left.select("band", F.col("v").alias("v2"), F.col("c").alias("c2"))
+    linked(left.join(right, "band").where((F.col("c") != F.col("c2")) & (F.col("v") > F.col("v2"))).select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct())
+    forget(now)
     # Large buckets that are still in several classes: all their texts meet by shingles, whatever the bucket.
     now = open_members()
-    still = written(now.where(F.col("size") > PAIRED).select("v", "c").distinct(), "near-still")
+    still = written(now.where(F.col("size") > PAIRED).select("v").distinct(), "near-still")
     forget(now)
     if still.head(1):
-        open_texts = written(meeting.join(still, "v").select("v", "c", "norm", "counts"), "near-open-texts")
-        pairs = written(close_pairs(open_texts, n, similar).join(done, ["a", "b"], "left_anti"), "near-pairs")
-        forget(open_texts)
-        links = written(verified(pairs, vectors, similar), "near-links")
-        if links.head(1):
-            labels = joined(labels, links)
-        release(spark)
-    for old in (members, met, meeting, vectors):
+        keyed = prefixes(meeting.join(still, "v"), n, similar)
+        for turn in range(TURNS):
+            if not linked(close_pairs(keyed, labels, similar, turn)):
+                break
+        linked(close_pairs(keyed, labels, similar, None))
+        forget(keyed)
+    for old in (members, met, meeting, vectors, still):
         forget(old)
     return labels
 
