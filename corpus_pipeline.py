@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import exact_dedup, minhash, packing, pii, toxicity
-from graphloom.llm.common import documents, forget, written
+from graphloom.llm.common import documents, forget, release, written
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -32,4 +32,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if last is not None:
             forget(last)
         last = docs
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

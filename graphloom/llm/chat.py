@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import running
+
 HEAD, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
 
@@ -29,12 +31,13 @@ def _rendered(turn: Column) -> Column:
 def _mask(turns: Column) -> Column:
     """start:end of the code points to train on, comma-joined."""
 
-    def step(acc: Column, turn: Column) -> Column:
-        start = acc["at"] + F.length(turn["role"]) + F.lit(len(HEAD + MIDDLE))
-        end = start + F.length(turn["text"]) + F.lit(len(END))
-        return F.struct(end.alias("at"), F.when(turn["role"] == TRAINED, F.concat(acc["spans"], F.array(F.concat_ws(":", start, end)))).otherwise(acc["spans"]).alias("spans"))
+    before = running(F.transform(turns, lambda t: F.length(_rendered(t))), lambda a, b: a + b)
+
+    def span(turn: Column, at: Column) -> Column:
+        start = at + F.length(turn["role"]) + F.lit(len(HEAD + MIDDLE))
+        return F.when(turn["role"] == TRAINED, F.concat_ws(":", start, start + F.length(turn["text"]) + F.lit(len(END))))
 
-    return F.array_join(F.aggregate(turns, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans")), step, lambda acc: acc["spans"]), ",")
+    return F.array_join(F.zip_with(turns, before, span), ",")
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:

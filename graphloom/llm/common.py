@@ -102,6 +102,37 @@ def probed(df: DataFrame, column: str, bits: DataFrame, words: int) -> DataFrame
     return joined.withColumn("maybe", hit).drop("word", "mask", "bits")
 
 
+#: Elements of an array that a fold works on at once.
+CHUNK = 64
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it, also in functions for an array's elements."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def chunks(array: Column) -> Column:
+    """The array, a column or what ``let`` names, cut into arrays of ``CHUNK``."""
+    count = F.floor((F.size(array) + CHUNK - 1) / CHUNK).cast("int")
+    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.slice(array, k * CHUNK + 1, CHUNK))
+
+
+def running(values: Column, op) -> Column:
+    """For each of an array's whole numbers, ``op`` (sum or maximum) over those before it; 0 for the first.
+
+    A fold that appends copies its array at each step, so it runs within chunks and then over the chunks."""
+    start = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct(op(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out"))
+    inner = let(values, lambda own: F.transform(chunks(own), lambda c: F.aggregate(c, start, step)))
+
+    def joined(inner: Column) -> Column:
+        before = F.aggregate(F.transform(inner, lambda x: x["s"]), start, step, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(inner, before, lambda x, b: F.transform(x["out"], lambda o: op(o, b))))
+
+    return let(inner, joined)
+
+
 def tidy(run):
     """A function for ``mapInArrow`` whose worker gives memory back to the machine when the task ends.
 

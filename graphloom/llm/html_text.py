@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, written
+from .common import maybe_broadcast, tidy, written
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -287,12 +287,12 @@ def wrappers(pages: DataFrame, host: str = "host", page: str = "html", fan_in: i
         if own is not None:
             yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([own.dump()])], ["host", "wrapper"])
 
-    parts = pages.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(page).cast("string").alias("html")).mapInArrow(learn, "host string, task int, wrapper string")
+    parts = pages.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(page).cast("string").alias("html")).mapInArrow(tidy(learn), "host string, task int, wrapper string")
     parts = parts.withColumn("part", F.floor(F.col("task") / fan_in))
     once = parts.repartition("host", "part").sortWithinPartitions("host", "part", "task")
     # Within a partition one host may have several parts; merging them together is merging early.
-    once = once.select("host", "wrapper").mapInArrow(merge, "host string, wrapper string")
-    return once.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(merge, "host string, wrapper string")
+    once = once.select("host", "wrapper").mapInArrow(tidy(merge), "host string, wrapper string")
+    return once.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(tidy(merge), "host string, wrapper string")
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:

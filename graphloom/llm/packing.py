@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, maybe_broadcast, written
+from .common import Memo, documents, forget, maybe_broadcast, tidy, written
 
 CAPACITY = 2048
-#: Words and pieces remembered; about 60 MB a Python worker.
-WORDS, PIECES = 250_000, 300_000
+#: Words and pieces remembered; about 40 MB a Python worker, given back when the task ends.
+WORDS, PIECES = 150_000, 150_000
 #: Characters tokenised at once; longer texts are cut at white space, which the tokenizer drops anyway.
 WINDOW = 1 << 20
 #: Controls that str.split() takes for white space and the tokenizer doesn't.
@@ -49,7 +49,7 @@ class WordIds:
 
     The tokenizer drops white space and never joins across it, so ids are found word by word, and the words and
     their pieces are remembered. A piece (lower-cased, as the vocabulary's pattern cuts it) goes through the
-    tokenizer's own BPE model.
+    tokenizer's own BPE model. Texts that name one of the vocabulary's added tokens go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -57,7 +57,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         spec = json.loads(self.tokenizer.to_str())
         self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.model = self.tokenizer.model
@@ -83,7 +83,7 @@ class WordIds:
         return "".join(map(str.lower, word)) if "\u03a3" in word else word.lower()
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in _CONTROLS):
+        if any(c in text for c in _CONTROLS) or any(t in text.lower() for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(text) <= WINDOW:
             return b"".join(map(self.known.__getitem__, text.split()))
@@ -134,7 +134,12 @@ def pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, vocabu
             columns = [b.column(0).take(pa.array(at, pa.int64())), pa.array(cut, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()), pa.array([task] * len(at), pa.int32()), pa.array(ranks, pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(ids, pa.list_(pa.int32()))] * keep_ids], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", *["ids"] * keep_ids])
 
-    return docs.select("doc_id", F.col(text).cast("string")).mapInArrow(run, schema)
+    def ended(batches):
+        yield from run(batches)
+        for coder in _WORD_IDS.values():
+            coder.known.clear(), coder.pieces.clear()
+
+    return docs.select("doc_id", F.col(text).cast("string")).mapInArrow(tidy(ended), schema)
 
 
 def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> dict[str, np.ndarray]:
@@ -190,7 +195,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence = p["sequence"][at] + rank - p["rank"][at]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence), pa.array(p["offset"][at])], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json", keep_ids: bool = False) -> DataFrame:

@@ -4,8 +4,9 @@ DataFrame functions only. Base spans are leftmost, non-overlapping matches of fo
 (octets up to 255, 14 to 19 digits passing Luhn, 10 to 15 digits).
 
 The method follows the disclosure-control literature on automatic sanitisation: each distinct base value is a
-protected entity e; words within ``CONTEXT`` code points of it are its candidate terms t. Over the whole corpus,
-counting each distinct text once,
+protected entity e, and so is the pool that it shares with others (an address's domain, a network, a card's issuer, a
+dialling prefix), since most values occur in one text only; words within ``CONTEXT`` code points of it are its
+candidate terms t. Over the whole corpus, counting each distinct text once,
     information of e        IC(e)    = log2(N / n(e))
     what t reveals about e  PMI(e;t) = log2(N * n(e,t) / (n(e) * n(t)))
 and t discloses e when PMI(e;t) >= ``DISCLOSED`` * IC(e), with n(e,t) >= ``SUPPORT`` texts behind the estimate
@@ -27,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, maybe_broadcast, written
+from .common import chunks, documents, forget, let, maybe_broadcast, running, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 64
@@ -74,13 +75,14 @@ _EMPTY = "array<struct<start:int,no:int,end:int,value:string>>"
 
 def _located(kind: str, parts: Column, matches: Column) -> Column:
     """Spans from the texts between matches and the matches, by running code-point sums."""
-    start = lambda acc, x: acc["at"] + F.length(x["part"])
-    step = lambda acc, x: F.struct(
-        (start(acc, x) + F.length(x["match"])).alias("at"),
-        F.when(_valid(kind, x["match"]), F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), F.lit(KINDS.index(kind)).alias("no"), (start(acc, x) + F.length(x["match"])).alias("end"), x["match"].alias("value"))))).otherwise(acc["out"]).alias("out"),
-    )
     pairs = F.arrays_zip(F.slice(parts, 1, F.size(matches)).alias("part"), matches.alias("match"))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("out")), step, lambda acc: acc["out"])
+    before = running(F.transform(pairs, lambda x: F.length(x["part"]) + F.length(x["match"])), lambda a, b: a + b)
+
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["part"])
+        return F.when(_valid(kind, x["match"]), F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("no"), (start + F.length(x["match"])).alias("end"), x["match"].alias("value")))
+
+    return F.filter(F.zip_with(pairs, before, span), lambda x: x.isNotNull()).cast(_EMPTY)
 
 
 def with_base_spans(packed: DataFrame) -> DataFrame:
@@ -102,18 +104,41 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("h"))
 
 
-def _context(text: Column, x: Column) -> Column:
+def _context(own: Column, first: Column, x: Column, length: Column) -> Column:
     """Words near a span, lower-cased and distinct. A word that the window's outer edge may cut is left out; the
-    text's own edges cut none."""
-    left = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
-    right = F.substring(text, x["end"] + 1, F.lit(CONTEXT))
+    text's own edges cut none. ``own`` is the text from code point ``first`` on."""
+    left = F.substring(own, F.greatest(x["start"] - CONTEXT, F.lit(0)) - first + 1, F.least(x["start"], F.lit(CONTEXT)))
+    right = F.substring(own, x["end"] - first + 1, F.lit(CONTEXT))
     left = F.when(x["start"] <= CONTEXT, F.concat(F.lit(" "), left)).otherwise(left)
-    right = F.when(x["end"] + CONTEXT >= F.length(text), F.concat(right, F.lit(" "))).otherwise(right)
+    right = F.when(x["end"] + CONTEXT >= length, F.concat(right, F.lit(" "))).otherwise(right)
     before = F.regexp_extract_all(left, F.lit(f"(?<=[^{WORD}])[{WORD}]{{{LETTERS},}}"), F.lit(0))
     after = F.regexp_extract_all(right, F.lit(f"[{WORD}]{{{LETTERS},}}(?=[^{WORD}])"), F.lit(0))
     return F.array_distinct(F.transform(F.concat(before, after), F.lower))
 
 
+def _contexts(text: Column, base: Column) -> Column:
+    """(entities, terms) of each span. The text is cut for many neighbouring spans at once, as each cut counts code
+    points from its text's beginning."""
+    first = lambda g: F.greatest(F.get(g, F.lit(0))["start"] - CONTEXT, F.lit(0))
+    parts = F.transform(chunks(base), lambda g: F.struct(g.alias("g"), first(g).alias("first"), (F.array_max(F.transform(g, lambda x: x["end"])) + CONTEXT).alias("end")))
+    parts = F.transform(parts, lambda p: F.struct(p["g"].alias("g"), p["first"].alias("first"), F.substring(text, p["first"] + 1, p["end"] - p["first"]).alias("own")))
+
+    def listed(length: Column) -> Column:
+        of = lambda p: F.transform(p["g"], lambda x: F.struct(_entities(x).alias("entities"), _context(p["own"], p["first"], x, length).alias("terms")))
+        return F.flatten(F.transform(parts, of))
+
+    return let(F.length(text), listed)
+
+
+def _entities(x: Column) -> Column:
+    """What a span protects: its value, and the pool that it shares with others of its kind. Most values occur in one
+    text only, where nothing can be estimated; their domain, network, issuer or dialling prefix occurs in many."""
+    value = F.lower(x["value"])
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    pool = F.when(x["no"] == 0, F.substring_index(value, "@", -1)).when(x["no"] == 1, F.substring_index(value, ".", 2)).when(x["no"] == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 5))
+    return F.array(F.concat_ws(":", x["no"], value), F.concat_ws(":", x["no"], F.lit("pool"), pool))
+
+
 def words(text: Column) -> Column:
     """The distinct lower-cased words of a text that may be terms."""
     return F.filter(F.array_distinct(F.split(F.lower(text), f"[^{WORD}]+")), lambda w: F.length(w) >= LETTERS)
@@ -122,12 +147,11 @@ def words(text: Column) -> Column:
 def disclosing_terms(packed: DataFrame) -> DataFrame:
     """A written table (term) of the words that disclose some protected entity."""
     spark = packed.sparkSession
-    entity = lambda x: F.concat_ws(":", x["no"], F.lower(x["value"]))
     seen = (
         with_base_spans(packed.select("text", "h"))
         .where(F.size("base") > 0)
-        .select("h", F.explode(F.transform("base", lambda x: F.struct(entity(x).alias("e"), _context(F.col("text"), x).alias("terms")))).alias("x"))
-        .select("h", "x.*")
+        .select("h", F.explode(_contexts(F.col("text"), F.col("base"))).alias("x"))
+        .select("h", F.explode("x.entities").alias("e"), "x.terms")
     )
     seen = written(seen, "pii-seen")
     known = seen.groupBy("e").agg(F.count_distinct("h").alias("n_e")).where(F.col("n_e") >= SUPPORT)
@@ -144,11 +168,14 @@ def disclosing_terms(packed: DataFrame) -> DataFrame:
     near_any = seen.select("h", F.explode("terms").alias("term")).groupBy("term").agg(F.count_distinct("h").alias("least"))
     pairs = pairs.join(known, "e").join(near_any, "term").where((information > 0) & (reveals("least") >= DISCLOSED * information))
     pairs = written(pairs, "pii-candidates")
-    candidates = maybe_broadcast(written(pairs.select("term").distinct(), "pii-words"), 300_000)
-    occurring = packed.select("h", F.explode(words(F.col("text"))).alias("term")).join(candidates, "term")
+    wanted = written(pairs.select("term").distinct(), "pii-words")
+    occurring = packed.select("h", F.explode(words(F.col("text"))).alias("term")).join(maybe_broadcast(wanted, 300_000), "term")
     counts = occurring.groupBy("term").agg(F.count_distinct("h").alias("n_t"))
     judged = pairs.join(counts, "term").where(reveals("n_t") >= DISCLOSED * information)
-    return written(judged.select("term").distinct(), "pii-terms")
+    terms = written(judged.select("term").distinct(), "pii-terms")
+    for old in (seen, known, pairs, wanted):
+        forget(old)
+    return terms
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -165,8 +192,19 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     pattern = F.concat(F.lit(f"(?iu)(?<![{WORD}])(?:"), F.array_join("terms", "|"), F.lit(f")(?![{WORD}])"))
     cut = joined.withColumns({"p": F.when(F.col("terms").isNotNull(), F.split("text", pattern, -1)), "m": F.when(F.col("terms").isNotNull(), F.regexp_extract_all("text", pattern, F.lit(0)))})
     located = F.when(F.size("m") > 0, _located("term", F.col("p"), F.col("m"))).otherwise(F.array().cast(_EMPTY))
-    clear = F.filter(located, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return cut.select("row", "text", F.array_sort(F.concat("base", clear)).alias("spans"))
+    found = cut.withColumn("located", located).select("row", "text", "base", F.when(F.size("located") > 0, F.array_sort(F.concat("base", "located"))).alias("all"))
+    return found.select("row", "text", F.when(F.col("all").isNotNull(), _clear(F.col("all"))).otherwise(F.col("base")).alias("spans"))
+
+
+def _clear(spans: Column) -> Column:
+    """Sorted spans without the terms that overlap a base span. Terms don't overlap one another, so that a base span
+    overlaps a term when it ends after the term's start and comes before it, or comes next and starts before its end."""
+    is_term = lambda x: x["no"] == KINDS.index("term")
+    reach = running(F.transform(spans, lambda x: F.when(is_term(x), 0).otherwise(x["end"])), F.greatest)
+    following = F.concat(F.slice(spans, 2, F.greatest(F.size(spans) - 1, F.lit(0))), F.array(F.lit(None).cast(_EMPTY[6:-1])))
+    near = F.arrays_zip(spans.alias("x"), reach.alias("reach"), following.alias("next"))
+    hit = lambda z: is_term(z["x"]) & ((z["reach"] > z["x"]["start"]) | F.coalesce(~is_term(z["next"]) & (z["next"]["start"] < z["x"]["end"]), F.lit(False)))
+    return F.transform(F.filter(near, lambda z: ~hit(z)), lambda z: z["x"])
 
 
 def _listed(spans: Column) -> Column:
@@ -177,12 +215,14 @@ def _listed(spans: Column) -> Column:
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with base spans generalised to [KIND] and terms removed; overlapping spans go as one."""
     label = lambda no: reduce(lambda c, k: c.when(no == k[0], f"[{k[1].upper()}]"), enumerate(KINDS[:4]), F).otherwise("")
-    step = lambda acc, x: F.struct(
-        F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), label(x["no"]))).otherwise(acc["out"]).alias("out"),
-        F.greatest(acc["at"], x["end"]).alias("at"),
-    )
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, done)
+    reach = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+    zipped = F.zip_with(spans, reach, lambda x, at: F.struct(at.alias("at"), x["start"].alias("start"), label(x["no"]).alias("label")))
+    # Texts are cut in two steps, as each cut counts code points from its text's beginning.
+    groups = let(F.filter(zipped, lambda z: z["start"] >= z["at"]), chunks)
+    parts = F.transform(groups, lambda g: F.struct(g.alias("g"), F.get(g, F.lit(0))["at"].alias("base"), F.element_at(g, -1)["start"].alias("end")))
+    parts = F.transform(parts, lambda p: F.struct(p["g"].alias("g"), p["base"].alias("base"), F.substring(text, p["base"] + 1, p["end"] - p["base"]).alias("own")))
+    cut = F.transform(parts, lambda p: F.array_join(F.transform(p["g"], lambda z: F.concat(F.substring(p["own"], z["at"] - p["base"] + 1, z["start"] - z["at"]), z["label"])), ""))
+    return F.concat(F.array_join(cut, ""), F.substring(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length(text)))
 
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, forget, written
+from .common import documents, forget, tidy, written
 
 BUCKETS = 1 << 18
 GRAMS = (4, 5, 6)
@@ -93,7 +93,7 @@ def _featurised(texts: DataFrame, schema: str, make) -> DataFrame:
         seen = _Seen()
         yield from make((y, seen.distinct(x)) for b in batches for y, x in zip(b.column("y").to_pylist(), _raw(b, "text")))
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidy(run), schema)
 
 
 def _class_counts(rows):
@@ -169,21 +169,21 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def score(docs: DataFrame, model: dict, text: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with a double column ``to``; the model (1 MB, fixed size) travels with the tasks."""
+def score(docs: DataFrame, model: dict, text: str = "text", to: str | None = "score") -> DataFrame:
+    """``docs`` with a double column ``to``, in place of one of that name; (row, score) with ``to`` None. The model (1 MB, fixed size) travels with the tasks."""
     shipped = docs.sparkSession.sparkContext.broadcast((model["w"], model["b"]))
-    lowered = docs.withColumn("__lowered", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())])
+    packed = docs.select(F.struct("*").alias("row"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         w, bias = shipped.value
         seen = _Seen()
         for b in batches:
-            z = np.array([w[seen.distinct(x)].sum(dtype=np.float64) for x in _raw(b, "__lowered")]) + bias
-            kept = b.drop_columns(["__lowered"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*kept.schema.names, to])
+            z = np.array([w[seen.distinct(x)].sum(dtype=np.float64) for x in _raw(b, "text")]) + bias
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["row", "score"])
 
-    return lowered.mapInArrow(run, schema)
+    scored = packed.mapInArrow(tidy(run), schema)
+    return scored if to is None else scored.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != to], F.col("score").alias(to))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,4 +196,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored 0.5 or more go."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, to="__toxicity").where(F.col("__toxicity") < 0.5).drop("__toxicity")
+    return score(docs, model, to=None).where(F.col("score") < 0.5).select("row.*")

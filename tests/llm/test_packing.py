@@ -9,7 +9,6 @@ from tokenizers import Tokenizer
 
 def ids(text):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 

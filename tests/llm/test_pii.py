@@ -55,5 +55,29 @@ def test_sanitising_merges_overlaps(spark):
 def test_words_at_the_edges_of_a_text_are_context(spark):
     far = "y" * 80
     rows = [("Zorblax mail z@y.org came end", 13, 20), (f"{far} mail z@y.org came {far}", 86, 93)]
-    found = spark.createDataFrame(rows, "text string, start int, end int").select(pii._context(F.col("text"), F.struct("start", "end")).alias("c")).collect()
+    found = spark.createDataFrame(rows, "text string, start int, end int").select(pii._contexts(F.col("text"), F.array(F.struct("start", F.lit(0).alias("no"), "end", F.lit("z@y.org").alias("value"))))[0]["terms"].alias("c")).collect()
     assert [sorted(r.c) for r in found] == [["came", "end", "mail", "zorblax"], ["came", "mail"]]
+
+
+def test_many_spans_in_one_text_and_overlaps(spark):
+    """Against a plain loop: thousands of spans, and base spans that overlap."""
+    line = "word a@b.example.com and +1 212 555 0100 x 1.2.3.4@c.example \u00e9 "
+    text = line * 1500
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.sanitise(docs).collect()[0].text
+    found = pii.find(docs).collect()[0].spans
+    want, at = [], 0
+    for x in sorted(found, key=lambda x: (x.start, x.no)):
+        if x.start >= at:
+            want += [text[at : x.start], ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "")[x.no]]
+        at = max(at, x.end)
+    assert got == "".join(want) + text[at:]
+    assert len(found) == 4 * 1500 and all(text[x.start : x.end] == x.value for x in found)
+
+
+def test_pooled_entities_disclose_what_single_values_cannot(spark):
+    """Every address occurs once; their domain occurs with one word wherever it does."""
+    rows = [(i, f"filler{i} talk about zanzibar person{i}@secret.example today filler") for i in range(6)] + [(100 + i, f"plain text number {i} talk about today filler") for i in range(200)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    terms = {r.text[x.start : x.end] for r in got for x in r.spans if x.no == 4}
+    assert "zanzibar" in terms and "talk" not in terms and "filler" not in terms
