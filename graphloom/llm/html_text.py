@@ -8,8 +8,9 @@ every task folds its own pages first, and what moves is one small wrapper per ho
 levels: a host with a third of all pages costs no more than its template.
 
 Extraction reads the page's own tree. The wrapper says where the article is (an article or main element, else
-the element whose slots vary and hold most text) and which slots are constants of the template; menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments are recognised by element, role, class and id.
+the element whose slots vary and hold most text) and which slots are constants of the template: those on whose
+content at least ``AGREEING`` pages agree that differ otherwise, in the article as outside. Menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments are also recognised by element, role, class and id.
 
 Defined results: null html = empty html = empty text; a page without a host has wrapper "" with others of its
 kind; a host with one page has no constants; cut-off pages and unclosed elements end at the page's end; repeated
@@ -19,9 +20,11 @@ rows are extracted each; extra columns are not read.
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import json
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,40 +33,59 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, tidy, written
 
+# Quotes count only at the start of a value; elsewhere they are plain characters. A tag ends before the next "<"
+# outside quotes, and nothing is given back, so that tokens are found in linear time.
+ATTRIBUTES = r"(?:=\s*+(?:\"[^\"]{0,65536}+\"|'[^']{0,65536}+'|[^\s><]++)?+|[^=><])*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
+    r"<!--(?:.*?-->|.*+)"
+    r"|<(script|style|template|svg|iframe|textarea|select|title)(?=[\s/>])" + ATTRIBUTES + r">(?:.*?</\1\s*+>|.*+)"
+    r"|<(/?)([a-zA-Z][^\s/><]*+)(" + ATTRIBUTES + r")>"
+    r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMES = re.compile(r"(?<![^\s/])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("math mfrac mi mn mo mover mroot mrow ms mspace msqrt msub msubsup msup mtext munder object canvas noscript a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BOILERPLATE = frozenset("nav header footer aside form button dialog menu head".split())
+#: Never boilerplate by their names; an article or main element also ends what names above it say.
+CONTENT = frozenset("html body article main".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo breadcrumb breadcrumbs nav navbar navigation menu sidebar aside footer "
     "masthead cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social related comment comments respond "
     "disqus search pagination pager toolbar widget contentinfo complementary".split()
 )
+#: Words that say nothing by themselves beside those: a name is boilerplate when all its words are of either kind, so
+#: that "site-footer" is and "comment-free" or "has-sidebar" isn't.
+NEUTRAL = frozenset("area bar block bottom box button buttons container content form global group header inner item items left link links list main page panel policy posts primary right section secondary site slot top user wrap wrapper".split())
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Longest run of tokens that may repeat, and longest text kept as a possible constant.
+#: Longest run of tokens that may repeat, and longest constant that is kept as it is (longer ones by their hash).
 LONGEST_GROUP, LONGEST_CONSTANT = 24, 200
+#: Pages of different content that must agree on a slot before it counts as the template's.
+AGREEING = 3
 #: Hosts that a task holds at once; beyond it, it emits their wrappers and starts anew.
 HELD = 4000
 #: The symbol of a text slot; tags and groups take the next private-use characters.
 SLOT = "\ue000"
 
 
+def _named_boilerplate(names: str) -> bool:
+    """Whether one of the names (white space between them) is made of boilerplate words."""
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        if not BOILERPLATE_NAMES.isdisjoint(words) and all(w in BOILERPLATE_NAMES or w in NEUTRAL or w.isdigit() for w in words):
+            return True
+    return False
+
+
 def walk(page: str):
     """Yields (path, text, boilerplate, breaks) for each text, and (token,) for each tag. path: open elements.
 
     breaks: whether a block boundary lies before the text."""
-    stack: list[tuple[str, str, bool]] = []  # (tag, name, boilerplate so far)
+    stack: list[tuple[str, str, bool, bool]] = []  # (tag, token, boilerplate by element, by names)
     path, bad, at, broke = "", False, 0, True
 
     def opened():
-        return ("/".join(x[1] for x in stack), stack[-1][2]) if stack else ("", False)
+        return ("/".join(x[1] for x in stack), stack[-1][2] or stack[-1][3]) if stack else ("", False)
 
     for m in TOKEN.finditer(page):
         if m.start() > at and page[at : m.start()].strip():
@@ -93,14 +115,22 @@ def walk(page: str):
                 break
             if stack[k][0] not in INLINE and stack[k][0] != "p":
                 break
-        names = [w for n in NAMES.finditer(m[4]) for w in re.split(r"[^a-z0-9]+", (n[2] or n[3] or n[4] or "").lower()) if w] if m[4] else []
-        token = ".".join([tag, *names[:4]])
+        names = " ".join((n[2] or n[3] or n[4] or "").lower() for n in NAMES.finditer(m[4])) if m[4] else ""
+        token = ".".join([tag, *[w for w in re.split(r"[^a-z0-9]+", names) if w][:4]])
         yield (token,)
         if tag not in VOID and not m[4].endswith("/"):
-            stack.append((tag, token, bool(stack and stack[-1][2]) or tag in BOILERPLATE or not BOILERPLATE_NAMES.isdisjoint(names)))
+            above = stack[-1][2:] if stack else (False, False)
+            by_names = False if tag in ("article", "main") else above[1] or tag not in CONTENT and _named_boilerplate(names)
+            stack.append((tag, token, above[0] or tag in BOILERPLATE, by_names))
         path, bad = opened()
-    if at < len(page) and page[at:].strip() and not re.match(r"<[a-zA-Z!/][^>]*\Z", page[at:], re.S):
-        yield path, page[at:], bad, broke
+    rest = re.split(r"<(?=[a-zA-Z!/?])", page[at:], maxsplit=1)[0]
+    if rest.strip():
+        yield path, rest, bad, broke
+
+
+def _constant(text: str) -> str:
+    """A slot's content, or its hash where it is long."""
+    return text if len(text) <= LONGEST_CONSTANT else "#" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 class Wrapper:
@@ -110,7 +140,7 @@ class Wrapper:
         self.alphabet: dict[str, str] = {"#": SLOT}
         self.groups: dict[str, str] = {}  # repeated run -> its symbol
         self.items: list[list] | None = None  # [symbol, optional]
-        self.slots: dict[str, list] = {}  # path -> [constant or None, characters, pages with it]
+        self.slots: dict[str, list] = {}  # path -> [constant or None, characters, fingerprints of up to AGREEING pages]
         self.known: set[str] = set()
 
     def symbol(self, token: str) -> str:
@@ -163,18 +193,20 @@ class Wrapper:
                 self.align([[s, False] for s in stream])
             if len(self.known) < 64:
                 self.known.add(stream)
+        own = zlib.crc32("".join(x for texts in seen.values() for x in texts).encode("utf-8", "surrogatepass"))
         for path, texts in seen.items():
             whole = "".join(texts)
-            self._slot(path, whole if len(whole) <= LONGEST_CONSTANT else None, len(whole), 1)
+            self._slot(path, _constant(whole), len(whole), [own])
 
-    def _slot(self, path: str, constant: str | None, chars: int, pages: int) -> None:
+    def _slot(self, path: str, constant: str | None, chars: int, pages: list[int]) -> None:
         mine = self.slots.get(path)
         if mine is None:
             self.slots[path] = [constant, chars, pages]
         else:
             mine[0] = mine[0] if mine[0] == constant else None
             mine[1] += chars
-            mine[2] += pages
+            if len(mine[2]) < AGREEING:
+                mine[2] = sorted({*mine[2], *pages})[:AGREEING]
 
     def merge(self, other: Wrapper) -> None:
         back = {c: t for t, c in other.alphabet.items()}
@@ -208,7 +240,6 @@ class Wrapper:
 
     def rules(self) -> str:
         """What extraction needs: the article's path ("" to judge by the page alone) and constant slots."""
-        pages = max([s[2] for s in self.slots.values()], default=0)
         weight: dict[str, int] = {}
         named = None
         for path, (constant, chars, _) in self.slots.items():
@@ -225,23 +256,30 @@ class Wrapper:
             root = max((p for p in weight if weight[p] >= 0.8 * most), key=lambda p: (p.count("/"), p))
             if root.split("/")[-1].split(".")[0] in ("p", "li", "td", *INLINE):
                 root = root.rpartition("/")[0]
-        fixed = {p: s[0] for p, s in self.slots.items() if s[0] is not None and s[2] >= 3} if pages >= 3 and named is None else {}
+        # Slots that pages of different content agree on are the template's, inside the article too.
+        fixed = {p: s[0] for p, s in self.slots.items() if s[0] is not None and len(s[2]) >= AGREEING}
+        inside = lambda p: root is None or p == root or p.startswith(root + "/")
+        if not any(s[0] is None and inside(p) for p, s in self.slots.items()):
+            fixed = {}
         return json.dumps([root or "", fixed])
 
 
 def main_text(page: str, rules: str | None = None) -> str:
     root, fixed = json.loads(rules) if rules else ("", {})
+    items = [x for x in walk(page) if len(x) == 4]
+    whole: dict[str, list[str]] = {}
+    for path, text, _, _ in items:
+        if path in fixed and text != " ":
+            whole.setdefault(path, []).append(text)
+    template = {path for path, texts in whole.items() if _constant("".join(texts)) == fixed[path]}
 
     def blocks(root: str) -> list[str]:
         out, own = [], []
-        for x in walk(page):
-            if len(x) == 1:
-                continue
-            path, text, bad, broke = x
+        for path, text, bad, broke in items:
             if broke and own:
                 out.append("".join(own))
                 own = []
-            if bad or root and path != root and not path.startswith(root + "/") or fixed.get(path) == text:
+            if bad or path in template or root and path != root and not path.startswith(root + "/"):
                 continue
             own.append(text)
         out.append("".join(own))
@@ -295,8 +333,8 @@ def wrappers(pages: DataFrame, host: str = "host", page: str = "html", fan_in: i
     return once.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(tidy(merge), "host string, wrapper string")
 
 
-def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``pages`` with a string column ``main_text``."""
+def extract(pages: DataFrame, url: str = "url", page: str = "html", to: str = "main_text") -> DataFrame:
+    """``pages`` with a string column ``to``, in place of one of that name."""
     kept = [f for f in pages.schema.fields]
     packed = pages.select(F.struct("*").alias("row"), F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://([^/?#]+)", 1), F.lit("")).alias("host"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
 
@@ -311,7 +349,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     def text_of(html_column, rules_column):
         return html_column.combine(rules_column, main_text)
 
-    return joined.select(*[F.col(f"row.`{f.name}`").alias(f.name) for f in kept], text_of("html", "rules").alias("main_text"))
+    return joined.select(*[F.col(f"row.`{f.name}`").alias(f.name) for f in kept if f.name != to], text_of("html", "rules").alias(to))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
