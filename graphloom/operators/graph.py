@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session shares: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder the session shares: spark.checkpoint.dir. Only in local mode is one made where it is unset; on a
+    cluster that is an error, as other machines don't see a local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

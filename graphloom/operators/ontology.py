@@ -72,3 +72,70 @@ def violations(shapes: DataFrame, instances: DataFrame, values: DataFrame, known
 def roots(classes: DataFrame, edges: DataFrame) -> DataFrame:
     """Classes without a known parent."""
     return classes.join(edges.select(F.col("child").alias("cls")).distinct(), "cls", "left_anti")
+
+
+def _holding(bounds: DataFrame, known: DataFrame) -> DataFrame:
+    """(prop, cls): each class at or below a class that bounds a property."""
+    return bounds.select("prop", F.col("cls").alias("ancestor")).join(known.select(F.col("child").alias("cls"), "ancestor"), "ancestor").select("prop", "cls").distinct()
+
+
+def properties_into(known: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(cls, prop): properties whose range holds the class or an ancestor of it; one without a range holds none."""
+    return _holding(ranges, known).select("cls", "prop")
+
+
+def validated(uses: DataFrame, known: DataFrame, domain: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``uses`` (subject, prop, object: class names) with ``domain_ok``, ``range_ok`` and ``valid``. No domain or no
+    range means that any class will do."""
+
+    def side(df: DataFrame, bounds: DataFrame, column: str, to: str) -> DataFrame:
+        bound = bounds.select("prop", F.lit(True).alias("_bound")).distinct()
+        hit = _holding(bounds, known).select("prop", F.col("cls").alias(column), F.lit(True).alias("_hit"))
+        return df.join(bound, "prop", "left").join(hit, ["prop", column], "left").withColumn(to, F.col("_bound").isNull() | F.col("_hit").isNotNull()).drop("_bound", "_hit")
+
+    both = side(side(uses, domain, "subject", "domain_ok"), ranges, "object", "range_ok")
+    return both.withColumn("valid", F.col("domain_ok") & F.col("range_ok"))
+
+
+def augmented(domain: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(prop, cls): the domains, and for each shape's path its target class."""
+    return domain.select("prop", "cls").union(shapes.select(F.col("path").alias("prop"), F.col("target").alias("cls"))).distinct()
+
+
+def shacl_shapes(triples: DataFrame) -> DataFrame:
+    """(target, path, min_count, max_count, node) of the property shapes among (s, p, o) triples."""
+    name = lambda c: F.lower(F.substring_index(F.substring_index(c, "/", -1), "#", -1))
+    of = lambda p, to: triples.where(F.col("p").endswith("#" + p)).select("s", F.col("o").alias(to))
+    held = of("targetClass", "target").join(of("property", "shape"), "s").select("target", F.col("shape").alias("s"))
+    for p, to in (("path", "path"), ("minCount", "min_count"), ("maxCount", "max_count"), ("node", "node")):
+        held = held.join(of(p, to), "s", "inner" if p == "path" else "left")
+    return held.select(name("target").alias("target"), name("path").alias("path"), F.col("min_count").cast("int"), F.col("max_count").cast("int"), name("node").alias("node"))
+
+
+def facets_of(known: DataFrame, facet_ranges: DataFrame, subproperties: DataFrame, shapes: DataFrame, facets: DataFrame) -> DataFrame:
+    """(cls, facet) by four ways, united: the range of a facet property whose domain holds the class; the same for a
+    property below one; a shape's node; a shape's path that names a facet. facet_ranges: (prop, domain, facet);
+    subproperties: (prop, parent); shapes: (target, path, node); facets: (facet)."""
+    up = known.select(F.col("child").alias("cls"), F.col("ancestor"))
+    direct = facet_ranges.select("prop", F.col("domain").alias("ancestor"), "facet")
+    below = subproperties.join(direct.withColumnRenamed("prop", "parent"), "parent").select("prop", "ancestor", "facet")
+    own = shapes.select(F.col("target").alias("ancestor"), "path", "node")
+    by_node = own.join(facets, own["node"] == facets["facet"]).select("ancestor", "facet")
+    by_path = own.join(facets, own["path"] == facets["facet"]).select("ancestor", "facet")
+    found = direct.select("ancestor", "facet").union(below.select("ancestor", "facet")).union(by_node).union(by_path)
+    return up.join(found, "ancestor").select("cls", "facet").distinct()
+
+
+def between(pairs: DataFrame, known: DataFrame, domain: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(s, o, prop, way) for pairs of classes: direct, inverse, and either with one side taken from its domain or range
+    alone; of several ways to one property the first stays."""
+    dom, ran = _holding(domain, known), _holding(ranges, known)
+    side = lambda df, to: df.select("prop", F.col("cls").alias(to))
+    ways = [
+        pairs.join(side(dom, "s"), "s").join(side(ran, "o"), ["prop", "o"]),
+        pairs.join(side(dom, "o"), "o").join(side(ran, "s"), ["prop", "s"]),
+        pairs.join(side(dom, "s"), "s"),
+        pairs.join(side(ran, "o"), "o"),
+    ]
+    found = reduce(DataFrame.union, [w.select("s", "o", "prop", F.lit(i + 1).alias("way")) for i, w in enumerate(ways)])
+    return found.groupBy("s", "o", "prop").agg(F.min("way").alias("way"))

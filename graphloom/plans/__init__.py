@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, html, knowledge, rules, sequences, similarity, streams, texts  # noqa: F401
+from . import evaluation, html, knowledge, rules, sequences, similarity, streams, texts, typing  # noqa: F401
 from .base import QUERIES, SQL
 
 
