@@ -153,14 +153,14 @@ def inverse_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- graph: customers and nations are nodes, embeddings' labels blocks --------------------------------------
 
-# Every document points at one among its ten neighbours by id: many small components.
-_G = "g AS (SELECT doc_id AS src, doc_id - doc_id % 10 + coalesce(n_chars, 0) % 10 AS dst FROM documents), nodes AS (SELECT src AS node FROM g UNION SELECT dst FROM g)"
+# Every document points at another one among ten neighbours by id: many small components.
+_G = "g AS (SELECT doc_id AS src, doc_id - doc_id % 10 + (doc_id % 10 + 1 + coalesce(n_chars, 0) % 9) % 10 AS dst FROM documents), nodes AS (SELECT src AS node FROM g UNION SELECT dst FROM g)"
 _COMP = f"WITH RECURSIVE {_G}, u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), reach AS (SELECT node, node AS other FROM nodes UNION SELECT r.node, u.dst FROM reach r JOIN u ON u.src = r.other), lab AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("src"), (F.col("doc_id") - F.col("doc_id") % 10 + F.coalesce("n_chars", F.lit(0)) % 10).alias("dst"))
+    return d.select(F.col("doc_id").alias("src"), (F.col("doc_id") - F.col("doc_id") % 10 + (F.col("doc_id") % 10 + 1 + F.coalesce("n_chars", F.lit(0)) % 9) % 10).alias("dst"))
 
 
 @query(_COMP + " SELECT node, component FROM lab")
