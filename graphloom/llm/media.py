@@ -1,9 +1,11 @@
 """Media columns: text bytes kept as lossless WebP images and read back as pixel arrays.
 
-A text's UTF-8 bytes, padded with blanks to a positive multiple of 192, fill rows of 64 pixels (red, green and
-blue of each take one byte, alpha is full). A payload of more than ``ROWS`` rows becomes several images, one
-after the other; each RIFF file states its own length. ``store`` writes them, ``read`` decodes any lossless
-WebP column into width, height and raw pixels, and ``features`` summarises pixels.
+A text's UTF-8 bytes, padded with blanks to a positive multiple of 192, fill rows of 192 grey pixels, one byte
+each. Up to 16 different bytes are stored by a palette with several pixels in one, more of them with green taken
+from red and blue, which leaves one channel; both with prefix codes and copies. A colour cache could only repeat
+what one code for a grey pixel says. A payload of more than ``ROWS`` rows becomes several images, one after the
+other; each RIFF file states its own length. ``store`` writes them, ``read`` decodes any lossless WebP column into
+width, height and raw pixels, and ``feature`` summarises pixels.
 
 Defined results: null text = empty text = 192 blanks; equal texts give equal stored bytes; repeated rows are
 stored each; bytes that are no lossless WebP file raise; extra columns stay. A text is held whole in one task,
@@ -25,19 +27,22 @@ from pyspark.sql import types as T
 from . import webp
 from .common import documents
 
-WIDTH = 64
-UNIT = 3 * WIDTH
-ROWS = 4096
+UNIT = 192
+ROWS = 256
+BUNDLED = 16  # colours up to which the format's palette puts several pixels into one
 
 
 def to_media(raw: bytes) -> tuple[bytes, int]:
     """(stored form, payload bytes)."""
     payload = raw + b" " * (UNIT - len(raw) if len(raw) < UNIT else -len(raw) % UNIT)
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
     files = []
     for at in range(0, len(rows), ROWS):
         own = rows[at : at + ROWS]
-        files.append(webp.encode(np.concatenate([own, np.full((*own.shape[:2], 1), 255, np.uint8)], 2), cache_bits=6, copies=True))
+        few = np.count_nonzero(np.bincount(own.ravel())) <= BUNDLED
+        grey = np.full((*own.shape, 4), 255, np.uint8)
+        grey[..., :3] = own[..., None]
+        files.append(webp.encode(grey, ((webp.PALETTE if few else webp.SUBTRACT_GREEN,),), copies=True))
     return b"".join(files), len(payload)
 
 
@@ -51,17 +56,13 @@ def images(media: bytes):
 
 
 def from_media(media: bytes) -> bytes:
-    return b"".join(np.ascontiguousarray(image[..., :3]).tobytes() for image in images(media))
+    return b"".join(image[..., 1].tobytes() for image in images(media))
 
 
 def feature(payload: bytes) -> str:
-    """Rows, and by channel the rounded mean and the number of distinct values."""
-    pixels = np.frombuffer(payload, np.uint8).reshape(-1, 3)
-    parts = [f"{len(pixels) // WIDTH}x{WIDTH}"]
-    for k, name in enumerate("rgb"):
-        counts = np.bincount(pixels[:, k], minlength=256)
-        parts.append(f"{name}:{int(counts @ np.arange(256)) // len(pixels)}:{int((counts > 0).sum())}")
-    return ";".join(parts)
+    """Rows and width, the rounded mean and the number of distinct values."""
+    counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+    return f"{len(payload) // UNIT}x{UNIT};grey:{int(counts @ np.arange(256)) // len(payload)}:{int((counts > 0).sum())}"
 
 
 def store(docs: DataFrame, text: str = "text", to: str = "media") -> DataFrame:

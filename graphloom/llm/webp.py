@@ -3,8 +3,9 @@
 ``decode`` reads any VP8L stream: simple and normal prefix codes, meta prefix images, LZ77 back-references with
 the neighbourhood distances, colour cache, and the predictor, cross-colour, subtract-green and palette
 transforms, each undone in reverse order. ``encode`` writes them; which transforms, cache and copies it uses are
-arguments. Streams whose prefix codes all have one width per channel and which use neither copies nor cache are
-read without a loop over pixels.
+arguments. Streams with one group of prefix codes are read by windows: what starts at every bit of a window is
+worked out for all bits at once, then only the chain of starts is followed. Images of one varying channel are
+written with the longest copies that the nearest earlier six pixels give, all found by sorting.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 import heapq
 import struct
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -23,6 +25,8 @@ CACHE_MULTIPLIER = 0x1E35A7BD
 LENGTH_CODES, DISTANCE_CODES = 24, 40
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 MAX_SIDE = 1 << 14
+MATCH, REACH, LONGEST = 6, 1 << 16, 4096  # what this encoder looks for: pixels alike, within how many, copied at once
+WINDOW = 1 << 15  # bytes of a stream that are read together
 NEAR = (
     (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2),
     (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3), (3, 2), (-3, 2), (0, 4), (4, 0),
@@ -124,30 +128,35 @@ def canonical(lengths: tuple[int, ...]) -> list[int]:
     for n in range(1, 17):
         code = (code + counts[n - 1]) << 1
         first[n] = code
-    out = []
-    for n in lengths:
-        out.append(_reversed(first[n], n))
-        first[n] += n > 0
+    out = [0] * len(lengths)
+    for i, n in enumerate(lengths):
+        if n:
+            out[i] = _reversed(first[n], n)
+            first[n] += 1
     return out
 
 
 @dataclass
 class Prefix:
-    """width: of all codes, or -1 when they differ; table: for the next ``depth`` bits, symbol << 4 | width."""
+    """width: of all codes, or -1 when they differ; found: for the next ``depth`` bits, symbol << 4 | width."""
 
     depth: int
-    table: list[int]
+    found: np.ndarray
     width: int
     symbols: np.ndarray | None = None
 
+    @cached_property
+    def table(self) -> list[int]:
+        return self.found.tolist()
+
     @classmethod
-    @lru_cache(256)
+    @lru_cache(32)
     def of(cls, lengths: tuple[int, ...]) -> Prefix:
         used = [i for i, n in enumerate(lengths) if n]
         if not used:
-            return cls(0, [0], 0, np.zeros(1, np.int64))
+            return cls(0, np.zeros(1, np.int64), 0, np.zeros(1, np.int64))
         if len(used) == 1:
-            return cls(0, [used[0] << 4], 0, np.array(used))
+            return cls(0, np.array(used) << 4, 0, np.array(used))
         depth = max(lengths)
         if sum(1 << depth - n for n in lengths if n) != 1 << depth:
             raise Corrupt("a prefix code isn't complete")
@@ -156,7 +165,7 @@ class Prefix:
             if n := lengths[symbol]:
                 table[code :: 1 << n] = symbol << 4 | n
         even = len({lengths[i] for i in used}) == 1
-        return cls(depth, table.tolist(), depth if even else -1, table >> 4 if even else None)
+        return cls(depth, table, depth if even else -1, table >> 4 if even else None)
 
     def read(self, bits: Reader) -> int:
         if not self.depth:
@@ -179,20 +188,27 @@ def read_prefix(bits: Reader, alphabet: int) -> Prefix:
         first[CODE_LENGTH_ORDER[k]] = bits.take(3)
     code = Prefix.of(tuple(first))
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else alphabet
-    at, last = 0, 8
+    at, last, used = 0, 8, 0
+    value, table, mask = bits.peek(14 * alphabet), code.table, (1 << code.depth) - 1
     while at < alphabet and left:
         left -= 1
-        n = code.read(bits)
+        found = table[value & mask]
+        n, width = found >> 4, found & 15 if mask else 0
         if n < 16:
             lengths[at] = n
             last = n or last
             at += 1
-            continue
-        value, times = (last, 3 + bits.take(2)) if n == 16 else (0, 3 + bits.take(3)) if n == 17 else (0, 11 + bits.take(7))
-        if at + times > alphabet:
-            raise Corrupt("code lengths run over the alphabet")
-        lengths[at : at + times] = [value] * times
-        at += times
+        else:
+            extra, fewest = {16: (2, 3), 17: (3, 3), 18: (7, 11)}[n]
+            times = fewest + (value >> width & (1 << extra) - 1)
+            if at + times > alphabet:
+                raise Corrupt("code lengths run over the alphabet")
+            lengths[at : at + times] = [last if n == 16 else 0] * times
+            at += times
+            width += extra
+        value >>= width
+        used += width
+    bits.take(used)
     return Prefix.of(tuple(lengths))
 
 
@@ -238,24 +254,17 @@ def _prefix_bits(lengths: tuple[int, ...]) -> tuple[int, int]:
         out.put(1, 1), out.put(0, 1), out.put(int(symbol > 1), 1), out.put(symbol, 8 if symbol > 1 else 1)
         return out.value, out.n
     out.put(0, 1)
-    runs, i = [], 0  # (code, extra bits, their number)
-    while i < len(lengths):
-        j = i
-        while j < len(lengths) and lengths[j] == lengths[i] and j - i < 138:
-            j += 1
-        n = j - i
-        if lengths[i] == 0 and n >= 11:
-            runs.append((18, n - 11, 7))
-        elif lengths[i] == 0 and n >= 3:
-            n = min(n, 10)
-            runs.append((17, n - 3, 3))
-        elif i and lengths[i] == lengths[i - 1] and lengths[i] and n >= 3:
-            n = min(n, 6)
-            runs.append((16, n - 3, 2))
-        else:
-            n = 1
-            runs.append((lengths[i], 0, 0))
-        i += n
+    runs = []  # (code, extra bits, their number)
+    for length, own in groupby(lengths):
+        left = len(list(own))
+        if length:
+            runs.append((length, 0, 0))
+            left -= 1
+        while left >= 3:
+            code, n, fewest, most = (16, 2, 3, 6) if length else (17, 3, 3, 10) if left < 11 else (18, 7, 11, 138)
+            runs.append((code, min(left, most) - fewest, n))
+            left -= min(left, most)
+        runs += [(length, 0, 0)] * left
     counts = [0] * 19
     for code, _, _ in runs:
         counts[code] += 1
@@ -299,6 +308,8 @@ def read_image(bits: Reader, width: int, height: int, top: bool) -> np.ndarray:
     green, red, blue, alpha, distance = codes[0]
     if groups == 1 and not cache_bits and min(c.width for c in codes[0][:4]) >= 0 and int(green.symbols.max()) < 256:
         return _read_even(bits, codes[0][:4], total).reshape(height, width)
+    if groups == 1 and green.depth:
+        return _read_windows(bits, codes[0], total, width, cache_bits).reshape(height, width)
     out, cache, at = [0] * total, [0] * (1 << cache_bits), 0
     drop = 32 - cache_bits
     while at < total:
@@ -337,6 +348,115 @@ def read_image(bits: Reader, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, np.uint32).reshape(height, width)
 
 
+def _after(code: np.ndarray) -> np.ndarray:
+    """The number of extra bits that follow each length or distance code."""
+    return np.maximum(code - 2, 0) >> 1
+
+
+def _values(code: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    return np.where(code < 4, code + 1, ((2 + (code & 1)) << _after(code)) + extra + 1)
+
+
+def _read_windows(bits: Reader, codes: list[Prefix], total: int, width: int, cache_bits: int) -> np.ndarray:
+    """Pixels of a stream with one group of codes; in a window, each bit is taken as the start of a token."""
+    green, red, blue, alpha, distance = codes
+    near = np.array([max(1, dx + dy * width) for dx, dy in NEAR])
+    literal = red.depth or blue.depth or alpha.depth
+    # bits up to the next part of a token, by the bits that come; of green, 64 more where a copy starts
+    symbol = green.found >> 4
+    copy = (symbol >= 256) & (symbol < 256 + LENGTH_CODES)
+    jump = ((green.found & 15) + copy * (64 + _after(symbol - 256))).astype(np.uint8)
+    far = ((distance.found & 15) * (distance.depth > 0) + _after(distance.found >> 4)).astype(np.uint8)
+    parts, made, at, length = [], 0, bits.at, 8 * len(bits.data)
+    while made < total:
+        if at >= length:
+            raise Corrupt("the stream ends early")
+        first = at >> 3
+        own = bits.data[first : first + WINDOW + 16]
+        own = np.frombuffer(own + bytes(24), np.uint8)
+        words = np.ndarray(len(own) - 7, "<u8", own, strides=(1,)).copy()
+        span = 8 * min(WINDOW, len(bits.data) - first)
+
+        def peek(q, n):  # up to 57 bits from each bit of q
+            return (words[q >> 3] >> (q & 7).astype(np.uint64) & ((np.uint64(1) << np.asarray(n).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+
+        here = (words[: span // 8].astype(np.uint32)[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << green.depth) - 1)).ravel().astype(np.int64)
+        step = jump.take(here, mode="clip")
+        copies = np.flatnonzero(step >= 64)
+        if literal:
+            own = np.flatnonzero(green.found[here] < 256 << 4)
+            q = start = own + step[own]
+            for c in (red, blue, alpha):
+                q = q + (c.found[peek(q, c.depth)] & 15 if c.depth else 0)
+            step[own] += (q - start).astype(np.uint8)
+        if len(copies):
+            step[copies] -= 64
+            q = copies + step[copies]
+            step[copies] += far[peek(q, distance.depth)]
+        chain, follow, p = bytearray(span), step.tobytes(), at - 8 * first
+        while p < span:
+            chain[p] = 1
+            p += follow[p]
+        chain = np.flatnonzero(np.frombuffer(chain, np.uint8))
+        found = green.found[here[chain]]
+        symbol, q = found >> 4, chain + (found & 15)
+        steps, back = np.ones(len(chain), np.int64), np.zeros(len(chain), np.int64)
+        copies = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTH_CODES))
+        if len(copies):
+            to, code = q[copies], symbol[copies] - 256
+            n = _after(code)
+            steps[copies] = _values(code, peek(to, n))
+            to = to + n
+            seen = distance.found[peek(to, distance.depth)]
+            to, code = to + (seen & 15 if distance.depth else 0), seen >> 4
+            d = _values(code, peek(to, _after(code)))
+            back[copies] = np.where(d <= len(NEAR), near[np.minimum(d, len(NEAR)) - 1], d - len(NEAR))
+        ends = made + np.cumsum(steps)
+        kept = len(chain)
+        if ends[-1] >= total:  # the image ends here: what follows belongs to something else
+            kept = int(np.searchsorted(ends, total)) + 1
+            p = int(chain[kept - 1]) + follow[chain[kept - 1]]
+        made, at = int(ends[kept - 1]), 8 * first + p
+        pixel = (symbol << 8).astype(np.uint32)
+        for c, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            if c.depth:
+                seen = c.found[peek(q, c.depth)]
+                q = q + (seen & 15)
+                pixel |= (seen >> 4).astype(np.uint32) << np.uint32(shift)
+            else:
+                pixel |= np.uint32(int(c.found[0] >> 4) << shift)
+        parts.append([x[:kept] for x in (symbol, pixel, steps, back)])
+    if made != total or at > length:
+        raise Corrupt("a copy reaches outside the image" if made != total else "the stream ends early")
+    bits.at = at
+    symbol, pixel, steps, back = (np.concatenate(x) for x in zip(*parts))
+    starts = np.cumsum(steps) - steps
+    if (back > starts).any():
+        raise Corrupt("a copy reaches outside the image")
+    out = np.zeros(total, np.uint32)
+    plain = symbol < 256
+    out[starts[plain]] = pixel[plain]
+    if cache_bits:
+        return _with_cache(out.tolist(), symbol.tolist(), starts.tolist(), steps.tolist(), back.tolist(), cache_bits)
+    copied = back > 0
+    for a, n, d in zip(starts[copied].tolist(), steps[copied].tolist(), back[copied].tolist()):
+        out[a : a + n] = out[a - d : a - d + n] if d >= n else np.resize(out[a - d : a], n)
+    return out
+
+
+def _with_cache(out: list, symbols: list, starts: list, steps: list, back: list, cache_bits: int) -> np.ndarray:
+    """The pixels left open by copies and by references to the colour cache, in the order of the stream."""
+    cache, drop = [0] * (1 << cache_bits), 32 - cache_bits
+    for s, a, n, d in zip(symbols, starts, steps, back):
+        if s >= 256 + LENGTH_CODES:
+            out[a] = cache[s - 256 - LENGTH_CODES]
+        for k in range(a, a + n):
+            if d:
+                out[k] = out[k - d]
+            cache[(CACHE_MULTIPLIER * out[k] & 0xFFFFFFFF) >> drop] = out[k]
+    return np.array(out, np.uint32)
+
+
 def _read_even(bits: Reader, codes: list[Prefix], total: int) -> np.ndarray:
     """Pixels whose codes have one width per channel: their bits form a matrix."""
     each = sum(c.width for c in codes)
@@ -378,6 +498,80 @@ def _parts(value: int) -> tuple[int, int, int]:
     return 2 * top + second, v & ((1 << top - 1) - 1), top - 1
 
 
+def _parts_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    v = np.maximum(value - 1, 0)
+    top = np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1
+    low, n = value <= 4, np.maximum(top - 1, 0)
+    return np.where(low, value - 1, 2 * top + (v >> n & 1)), np.where(low, 0, v & ((1 << n) - 1)), np.where(low, 0, n)
+
+
+def _copies(plane: np.ndarray) -> np.ndarray:
+    """(start, length, distance) of the copies taken, in order, from one channel's values."""
+    out = []
+    for base in range(0, len(plane) - MATCH + 1, REACH):
+        v = plane[base : base + REACH].astype(np.uint64)
+        m = len(v) - MATCH + 1
+        if m < 2:
+            break
+        key = np.arange(m, dtype=np.uint64)
+        for k in range(MATCH):
+            key |= v[k : k + m] << np.uint64(16 + 8 * k)
+        key.sort()
+        place = (key & np.uint64(REACH - 1)).astype(np.int64)
+        again = np.flatnonzero(key[1:] >> np.uint64(16) == key[:-1] >> np.uint64(16)) + 1
+        back = np.zeros(m, np.int64)
+        back[place[again]] = place[again] - place[again - 1]
+        first = np.concatenate([[0], np.flatnonzero(back[1:] != back[:-1]) + 1])  # runs of one distance
+        last = np.append(first[1:], m)
+        kept = back[first] > 0
+        at = 0
+        for a, b, d in zip(first[kept].tolist(), last[kept].tolist(), back[first[kept]].tolist()):
+            a = max(a, at)
+            if a >= b:
+                continue
+            at = b + MATCH - 1
+            while a < at:
+                n = min(LONGEST, at - a)
+                out.append((base + a, n, d))
+                a += n
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _write_plane(out: Writer, plane: np.ndarray, rest: tuple[int, int, int]) -> None:
+    """An image whose green alone varies; red, blue and alpha are single symbols."""
+    start, length, back = _copies(plane).T
+    inside = np.zeros(len(plane) + 1, np.int64)
+    inside[start] += 1
+    inside[start + length] -= 1
+    token = np.cumsum(inside)[:-1] == 0
+    token[start] = True
+    symbol = plane.astype(np.int64)
+    length_code, length_extra, length_n = _parts_of(length)
+    back_code, back_extra, back_n = _parts_of(back + len(NEAR))
+    symbol[start] = 256 + length_code
+    symbol = symbol[token]
+    lengths = [code_lengths(np.bincount(symbol, minlength=256 + LENGTH_CODES).tolist())]
+    lengths += [[int(i == r) for i in range(256)] for r in rest]
+    lengths.append(code_lengths(np.bincount(back_code, minlength=DISTANCE_CODES).tolist()))
+    for own in lengths:
+        write_prefix(out, own)
+
+    def coded(own):
+        single = sum(n > 0 for n in own) == 1
+        return np.array(canonical(tuple(own)), np.uint64), np.array([0] * len(own) if single else own, np.uint64)
+
+    (code, n), (far_code, far_n) = coded(lengths[0]), coded(lengths[4])
+    value, width = code[symbol], n[symbol]
+    where = np.flatnonzero(symbol >= 256)
+    for v, k in ((length_extra, length_n), (far_code[back_code], far_n[back_code]), (back_extra, back_n)):
+        value[where] |= v.astype(np.uint64) << width[where]
+        width[where] += k.astype(np.uint64)
+    width = width.astype(np.int64)
+    ends = np.cumsum(width)
+    inside = np.arange(ends[-1]) - np.repeat(ends - width, width)
+    out.put_bits((np.repeat(value, width) >> inside.astype(np.uint64)).astype(np.uint8) & 1)
+
+
 def write_image(out: Writer, pixels: np.ndarray, top: bool, cache_bits: int = 0, copies: bool = False, even: bool = False) -> None:
     """even: codes of eight bits for all of red, green and blue, which are quick to read."""
     height, width = pixels.shape
@@ -406,6 +600,10 @@ def write_image(out: Writer, pixels: np.ndarray, top: bool, cache_bits: int = 0,
         inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
         out.put_bits((np.repeat(v, n) >> inside & 1).astype(np.uint8))
         return
+    if not cache_bits and (flat & np.uint32(0xFFFF00FF) == flat[0] & np.uint32(0xFFFF00FF)).all():
+        first = int(flat[0])
+        _write_plane(out, (flat >> np.uint32(8) & np.uint32(255)).astype(np.uint8), (first >> 16 & 255, first & 255, first >> 24))
+        return
     tokens, cache, seen, at, values = [], {}, {}, 0, flat.tolist()
     while at < len(values):
         pixel, key = values[at], tuple(values[at : at + 3])
@@ -611,7 +809,14 @@ def decode(data: bytes) -> np.ndarray:
             coded = (coded + (1 << shift) - 1) >> shift
         else:
             transforms.append((kind, 0, None))
-    pixels = _split(read_image(bits, coded, height, True))
+    packed = read_image(bits, coded, height, True)
+    if transforms and transforms[-1][0] == SUBTRACT_GREEN:  # undone on whole pixels
+        transforms.pop()
+        green = packed >> np.uint32(8) & np.uint32(255)
+        packed = packed & np.uint32(0xFF00FF00) | (packed & np.uint32(0xFF00FF)) + green * np.uint32(0x10001) & np.uint32(0xFF00FF)
+    if not transforms:
+        return packed.astype("<u4").view(np.uint8).reshape(height, coded, 4)[..., [2, 1, 0, 3]]
+    pixels = _split(packed)
     for kind, shift, own in reversed(transforms):
         if kind == PREDICTOR:
             pixels = predictor(pixels, own[..., 2], shift, False)
@@ -630,12 +835,17 @@ def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copies
     height, width = rgba.shape[:2]
     if not (0 < width <= MAX_SIDE and 0 < height <= MAX_SIDE):
         raise ValueError("a side must have 1 to 16384 pixels")
-    pixels = rgba[..., [3, 0, 1, 2]].astype(np.int64)
+    pixels = None if transforms == ((SUBTRACT_GREEN,),) else rgba[..., [3, 0, 1, 2]].astype(np.int64)
     out = Writer()
     out.put(SIGNATURE, 8), out.put(width - 1, 14), out.put(height - 1, 14), out.put(int((rgba[..., 3] != 255).any()), 1), out.put(0, 3)
     for kind, *own in transforms:
         out.put(1, 1), out.put(kind, 2)
-        if kind == PREDICTOR:
+        if pixels is None:  # bytes wrap around
+            less = rgba.copy()
+            less[..., 0] -= rgba[..., 1]
+            less[..., 2] -= rgba[..., 1]
+            packed = np.ascontiguousarray(less[..., [2, 1, 0, 3]]).view("<u4")[..., 0].astype(np.uint32)
+        elif kind == PREDICTOR:
             shift, modes = own
             out.put(shift - 2, 3)
             write_image(out, (modes.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000), False)
@@ -655,7 +865,7 @@ def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copies
             out.put(len(palette) - 1, 8)
             write_image(out, _join(np.diff(palette, axis=0, prepend=np.zeros((1, 4), np.int64)) & 255)[None, :], False)
     out.put(0, 1)
-    write_image(out, _join(pixels), True, cache_bits, copies, even)
+    write_image(out, packed if pixels is None else _join(pixels), True, cache_bits, copies, even)
     body = out.finish()
     body += b"\0" * (len(body) % 2)
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body

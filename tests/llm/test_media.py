@@ -61,3 +61,39 @@ def test_stored_form_is_compressed_and_read_back():
     raw = ("the same line again and again, é\n" * 200).encode()
     stored, size = media.to_media(raw)
     assert media.from_media(stored)[: len(raw)] == raw and len(stored) < size / 4
+
+
+@pytest.mark.parametrize("window", [16, 40])
+def test_streams_are_read_across_windows(monkeypatch, window):
+    monkeypatch.setattr(webp, "WINDOW", window)
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 9, (20, 30, 4)).astype(np.uint8)
+    a[10:] = a[:10]
+    for options in ({"copies": True}, {"cache_bits": 4}, {"copies": True, "cache_bits": 6}):
+        assert (webp.decode(webp.encode(a, ((webp.SUBTRACT_GREEN,),), **options)) == a).all()
+    text = bytes(rng.integers(0, 200, 3000).astype(np.uint8)) * 2
+    stored, _ = media.to_media(text)
+    assert media.from_media(stored)[: len(text)] == text and len(stored) < len(text)
+
+
+def test_copies_are_earlier_bytes():
+    rng = np.random.default_rng(3)
+    for top, n in ((2, 500), (4, 3000), (200, 900), (1, 9000), (3, 5)):
+        plane = rng.integers(0, top, n).astype(np.uint8)
+        end = 0
+        for start, length, back in webp._copies(plane).tolist():
+            assert start >= end and 1 <= length <= webp.LONGEST and 1 <= back <= start
+            assert all(plane[k] == plane[k - back] for k in range(start, start + length))
+            end = start + length
+        assert end <= n
+
+
+def test_the_transform_follows_the_content(monkeypatch):
+    seen = []
+    encode = webp.encode
+    monkeypatch.setattr(webp, "encode", lambda pixels, transforms, **more: seen.append(transforms[0][0]) or encode(pixels, transforms, **more))
+    for text in ("", "aab" * 400, "The quick brown fox jumps over the lazy dog, twice.", "é" * 90000 + "abcdefghijklmnopqrst"):
+        raw = text.encode()
+        stored, size = media.to_media(raw)
+        assert media.from_media(stored) == raw.ljust(size, b" ")
+    assert set(seen) == {webp.PALETTE, webp.SUBTRACT_GREEN}
