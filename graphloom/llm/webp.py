@@ -90,13 +90,12 @@ class Writer:
 
     def put_bits(self, bits: np.ndarray) -> None:
         """Many bits at once, each a 0 or 1."""
-        head = min(len(bits), -self.n % 8)
-        for b in bits[:head]:
-            self.put(int(b), 1)
-        whole = (len(bits) - head) // 8 * 8
-        self.done += np.packbits(bits[head : head + whole], bitorder="little").tobytes()
-        for b in bits[head + whole :]:
-            self.put(int(b), 1)
+        own = np.concatenate([np.array([self.value >> k & 1 for k in range(self.n)], np.uint8), bits])
+        whole = len(own) // 8
+        packed = np.packbits(own, bitorder="little").tobytes()
+        self.done += packed[:whole]
+        self.n = len(own) - 8 * whole
+        self.value = packed[whole] if self.n else 0
 
     def finish(self) -> bytes:
         return bytes(self.done) + (bytes([self.value & 255]) if self.n else b"")
@@ -114,8 +113,8 @@ class _Number:
 # ---- prefix codes -----------------------------------------------------------------------------------------
 
 
-def _reversed(code: int, n: int) -> int:
-    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+# each 16-bit number with its bits in reverse order
+REVERSED = np.packbits(np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8)).reshape(-1, 16)[:, ::-1]).view(">u2").tolist()
 
 
 @lru_cache(256)
@@ -131,7 +130,7 @@ def canonical(lengths: tuple[int, ...]) -> list[int]:
     out = [0] * len(lengths)
     for i, n in enumerate(lengths):
         if n:
-            out[i] = _reversed(first[n], n)
+            out[i] = REVERSED[first[n]] >> 16 - n
             first[n] += 1
     return out
 
@@ -158,12 +157,13 @@ class Prefix:
         if len(used) == 1:
             return cls(0, np.array(used) << 4, 0, np.array(used))
         depth = max(lengths)
-        if sum(1 << depth - n for n in lengths if n) != 1 << depth:
+        if sum([1 << depth - lengths[i] for i in used]) != 1 << depth:
             raise Corrupt("a prefix code isn't complete")
         table = np.zeros(1 << depth, np.int64)
-        for symbol, code in enumerate(canonical(lengths)):
-            if n := lengths[symbol]:
-                table[code :: 1 << n] = symbol << 4 | n
+        codes = canonical(lengths)
+        for symbol in used:
+            n = lengths[symbol]
+            table[codes[symbol] :: 1 << n] = symbol << 4 | n
         even = len({lengths[i] for i in used}) == 1
         return cls(depth, table, depth if even else -1, table >> 4 if even else None)
 
@@ -215,26 +215,27 @@ def read_prefix(bits: Reader, alphabet: int) -> Prefix:
 def code_lengths(counts, most: int = 15) -> list[int]:
     """Lengths of a prefix code for these counts, none over ``most``."""
     counts = list(counts)
+    used = [i for i, c in enumerate(counts) if c]
+    out = [0] * len(counts)
+    if len(used) < 2:
+        for i in used:
+            out[i] = 1
+        return out
+    n = len(counts)
     while True:
-        heap = [(c, i, None) for i, c in enumerate(counts) if c]
-        out = [0] * len(counts)
-        if len(heap) < 2:
-            for _, i, _ in heap:
-                out[i] = 1
-            return out
+        heap = [counts[i] << 20 | i for i in used]  # the count, then the node
         heapq.heapify(heap)
-        fresh = len(counts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], fresh, (a, b)))
-            fresh += 1
-        todo = [(heap[0], 0)]
-        while todo:
-            (_, i, pair), depth = todo.pop()
-            if pair is None:
-                out[i] = depth
-            else:
-                todo += [(pair[0], depth + 1), (pair[1], depth + 1)]
+        parent = [0] * (n + len(used) - 1)
+        for fresh in range(n, len(parent)):
+            a = heapq.heappop(heap)
+            b = heap[0]
+            parent[a & 0xFFFFF] = parent[b & 0xFFFFF] = fresh
+            heapq.heapreplace(heap, (a >> 20) + (b >> 20) << 20 | fresh)
+        depth = [0] * len(parent)
+        for k in range(len(parent) - 2, n - 1, -1):
+            depth[k] = depth[parent[k]] + 1
+        for i in used:
+            out[i] = depth[parent[i]] + 1
         if max(out) <= most:
             return out
         counts = [(c + 1) // 2 if c else 0 for c in counts]  # flatter counts, a shallower tree
@@ -277,10 +278,11 @@ def _prefix_bits(lengths: tuple[int, ...]) -> tuple[int, int]:
     for k in range(kept):
         out.put(own[CODE_LENGTH_ORDER[k]], 3)
     out.put(0, 1)  # lengths for the whole alphabet follow
+    value, width = out.value, out.n
     for code, extra, n in runs:
-        out.put(codes[code], own[code])
-        out.put(extra, n)
-    return out.value, out.n
+        value |= (codes[code] | extra << own[code]) << width
+        width += own[code] + n
+    return value, width
 
 
 # ---- entropy-coded images: pixels as uint32 alpha, red, green, blue -----------------------------------------
@@ -348,25 +350,27 @@ def read_image(bits: Reader, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, np.uint32).reshape(height, width)
 
 
-def _after(code: np.ndarray) -> np.ndarray:
-    """The number of extra bits that follow each length or distance code."""
-    return np.maximum(code - 2, 0) >> 1
+# by length or distance code: the number of extra bits, and the value that they are added to
+AFTER = np.maximum(np.arange(DISTANCE_CODES) - 2, 0) >> 1
+LEAST = np.where(np.arange(DISTANCE_CODES) < 4, np.arange(DISTANCE_CODES), (2 + (np.arange(DISTANCE_CODES) & 1)) << AFTER) + 1
+MASKS = (np.uint64(1) << np.arange(58, dtype=np.uint64)) - np.uint64(1)
+AFTER_GREEN = np.zeros(256 + LENGTH_CODES + (1 << 11), np.uint8)
+AFTER_GREEN[256 : 256 + LENGTH_CODES] = 64 + AFTER[:LENGTH_CODES]
 
 
-def _values(code: np.ndarray, extra: np.ndarray) -> np.ndarray:
-    return np.where(code < 4, code + 1, ((2 + (code & 1)) << _after(code)) + extra + 1)
+@lru_cache(16)
+def _near(width: int) -> np.ndarray:
+    return np.array([max(1, dx + dy * width) for dx, dy in NEAR])
 
 
 def _read_windows(bits: Reader, codes: list[Prefix], total: int, width: int, cache_bits: int) -> np.ndarray:
     """Pixels of a stream with one group of codes; in a window, each bit is taken as the start of a token."""
     green, red, blue, alpha, distance = codes
-    near = np.array([max(1, dx + dy * width) for dx, dy in NEAR])
+    near = _near(width)
     literal = red.depth or blue.depth or alpha.depth
     # bits up to the next part of a token, by the bits that come; of green, 64 more where a copy starts
-    symbol = green.found >> 4
-    copy = (symbol >= 256) & (symbol < 256 + LENGTH_CODES)
-    jump = ((green.found & 15) + copy * (64 + _after(symbol - 256))).astype(np.uint8)
-    far = ((distance.found & 15) * (distance.depth > 0) + _after(distance.found >> 4)).astype(np.uint8)
+    jump = (green.found & 15).astype(np.uint8) + AFTER_GREEN[green.found >> 4]
+    far = ((distance.found & 15) * (distance.depth > 0) + AFTER[distance.found >> 4]).astype(np.uint8)
     parts, made, at, length = [], 0, bits.at, 8 * len(bits.data)
     while made < total:
         if at >= length:
@@ -378,7 +382,7 @@ def _read_windows(bits: Reader, codes: list[Prefix], total: int, width: int, cac
         span = 8 * min(WINDOW, len(bits.data) - first)
 
         def peek(q, n):  # up to 57 bits from each bit of q
-            return (words[q >> 3] >> (q & 7).astype(np.uint64) & ((np.uint64(1) << np.asarray(n).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+            return (words[q >> 3] >> (q & 7).astype(np.uint64) & MASKS[n]).astype(np.int64)
 
         here = (words[: span // 8].astype(np.uint32)[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << green.depth) - 1)).ravel().astype(np.int64)
         step = jump.take(here, mode="clip")
@@ -404,12 +408,12 @@ def _read_windows(bits: Reader, codes: list[Prefix], total: int, width: int, cac
         copies = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTH_CODES))
         if len(copies):
             to, code = q[copies], symbol[copies] - 256
-            n = _after(code)
-            steps[copies] = _values(code, peek(to, n))
+            n = AFTER[code]
+            steps[copies] = LEAST[code] + peek(to, n)
             to = to + n
             seen = distance.found[peek(to, distance.depth)]
             to, code = to + (seen & 15 if distance.depth else 0), seen >> 4
-            d = _values(code, peek(to, _after(code)))
+            d = LEAST[code] + peek(to, AFTER[code])
             back[copies] = np.where(d <= len(NEAR), near[np.minimum(d, len(NEAR)) - 1], d - len(NEAR))
         ends = made + np.cumsum(steps)
         kept = len(chain)
@@ -438,10 +442,17 @@ def _read_windows(bits: Reader, codes: list[Prefix], total: int, width: int, cac
     out[starts[plain]] = pixel[plain]
     if cache_bits:
         return _with_cache(out.tolist(), symbol.tolist(), starts.tolist(), steps.tolist(), back.tolist(), cache_bits)
-    copied = back > 0
-    for a, n, d in zip(starts[copied].tolist(), steps[copied].tolist(), back[copied].tolist()):
-        out[a : a + n] = out[a - d : a - d + n] if d >= n else np.resize(out[a - d : a], n)
-    return out
+    copied = np.flatnonzero(back)
+    if not len(copied):
+        return out
+    raw = bytearray(out.tobytes())
+    to = 4 * starts[copied]
+    for a, end, source in zip(to.tolist(), (to + 4 * steps[copied]).tolist(), (to - 4 * back[copied]).tolist()):
+        while a < end:  # what was copied may be copied in turn
+            n = min(end, 2 * a - source)
+            raw[a:n] = raw[source : source + n - a]
+            a = n
+    return np.frombuffer(raw, np.uint32)
 
 
 def _with_cache(out: list, symbols: list, starts: list, steps: list, back: list, cache_bits: int) -> np.ndarray:
@@ -498,7 +509,10 @@ def _parts(value: int) -> tuple[int, int, int]:
     return 2 * top + second, v & ((1 << top - 1) - 1), top - 1
 
 
-def _parts_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(1)
+def _all_parts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_parts`` gives for each value that a copy can have here."""
+    value = np.arange(REACH + len(NEAR))
     v = np.maximum(value - 1, 0)
     top = np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1
     low, n = value <= 4, np.maximum(top - 1, 0)
@@ -532,11 +546,16 @@ def _copies(plane: np.ndarray) -> np.ndarray:
             at = b + MATCH - 1
             while a < at:
                 n = min(LONGEST, at - a)
-                out.append((base + a, n, d))
+                out += (base + a, n, d)
                 a += n
     return np.array(out, np.int64).reshape(-1, 3)
 
 
+@lru_cache(256)
+def _single(symbol: int) -> tuple[int, ...]:
+    return (0,) * symbol + (1,) + (0,) * (255 - symbol)
+
+
 def _write_plane(out: Writer, plane: np.ndarray, rest: tuple[int, int, int]) -> None:
     """An image whose green alone varies; red, blue and alpha are single symbols."""
     start, length, back = _copies(plane).T
@@ -546,19 +565,19 @@ def _write_plane(out: Writer, plane: np.ndarray, rest: tuple[int, int, int]) ->
     token = np.cumsum(inside)[:-1] == 0
     token[start] = True
     symbol = plane.astype(np.int64)
-    length_code, length_extra, length_n = _parts_of(length)
-    back_code, back_extra, back_n = _parts_of(back + len(NEAR))
+    length_code, length_extra, length_n = (x[length] for x in _all_parts())
+    back_code, back_extra, back_n = (x[back + len(NEAR)] for x in _all_parts())
     symbol[start] = 256 + length_code
     symbol = symbol[token]
     lengths = [code_lengths(np.bincount(symbol, minlength=256 + LENGTH_CODES).tolist())]
-    lengths += [[int(i == r) for i in range(256)] for r in rest]
+    lengths += [_single(r) for r in rest]
     lengths.append(code_lengths(np.bincount(back_code, minlength=DISTANCE_CODES).tolist()))
     for own in lengths:
         write_prefix(out, own)
 
     def coded(own):
-        single = sum(n > 0 for n in own) == 1
-        return np.array(canonical(tuple(own)), np.uint64), np.array([0] * len(own) if single else own, np.uint64)
+        n = np.array(own, np.uint64)
+        return np.array(canonical(tuple(own)), np.uint64), n if np.count_nonzero(n) > 1 else n * np.uint64(0)
 
     (code, n), (far_code, far_n) = coded(lengths[0]), coded(lengths[4])
     value, width = code[symbol], n[symbol]
@@ -777,6 +796,14 @@ def to_palette(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
 # ---- files --------------------------------------------------------------------------------------------------
 
 
+def _swapped(pixels: np.ndarray) -> np.ndarray:
+    """Red and blue change places."""
+    out = np.empty(pixels.shape, np.uint8)
+    for k, other in enumerate((2, 1, 0, 3)):
+        out[..., k] = pixels[..., other]
+    return out
+
+
 def decode(data: bytes) -> np.ndarray:
     """One RIFF file -> uint8 array (height, width, 4): red, green, blue, alpha."""
     if len(data) < 20 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
@@ -815,7 +842,7 @@ def decode(data: bytes) -> np.ndarray:
         green = packed >> np.uint32(8) & np.uint32(255)
         packed = packed & np.uint32(0xFF00FF00) | (packed & np.uint32(0xFF00FF)) + green * np.uint32(0x10001) & np.uint32(0xFF00FF)
     if not transforms:
-        return packed.astype("<u4").view(np.uint8).reshape(height, coded, 4)[..., [2, 1, 0, 3]]
+        return _swapped(packed.astype("<u4").view(np.uint8).reshape(height, coded, 4))
     pixels = _split(packed)
     for kind, shift, own in reversed(transforms):
         if kind == PREDICTOR:
@@ -841,10 +868,10 @@ def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copies
     for kind, *own in transforms:
         out.put(1, 1), out.put(kind, 2)
         if pixels is None:  # bytes wrap around
-            less = rgba.copy()
+            less = _swapped(rgba)
             less[..., 0] -= rgba[..., 1]
             less[..., 2] -= rgba[..., 1]
-            packed = np.ascontiguousarray(less[..., [2, 1, 0, 3]]).view("<u4")[..., 0].astype(np.uint32)
+            packed = less.view("<u4")[..., 0].astype(np.uint32)
         elif kind == PREDICTOR:
             shift, modes = own
             out.put(shift - 2, 3)
