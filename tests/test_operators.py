@@ -1,5 +1,7 @@
 """Hand examples of text, ontology, graph, resolution and sequence operators."""
 
+import re
+
 from graphloom.functions import jsontext, text
 from graphloom.operators import graph, metrics, ontology, resolve, sequences
 from pyspark.sql import functions as F
@@ -21,10 +23,23 @@ def test_results_keys(spark):
 
 def test_indicators(spark):
     found = one(spark, text.mention_kinds(F.lit("192.168.1.100 CVE-2023-1234 malicious.example.com January 2023 version 1.2.3 " + "a" * 32 + " " + "b" * 64)))
-    assert {x["kind"] for x in found} >= {"ip", "cve", "domain", "date", "version", "md5", "sha256"}
+    assert {x["kind"] for x in found} >= {"ip", "cve", "domain", "date", "version", "hash_md5", "hash_sha256"}
     assert one(spark, text.mention_kinds(F.lit("This is normal text without indicators"))) == []
 
 
+def test_mention_kinds_as_plain_patterns(spark):
+    lines = [
+        "In 2020 the energy sector and the health sector, not the oil sector9",
+        "x sector9 y sector", "9foo bar sector", "sector", "_a b sector_ c sector", "a  b sector", "", "v 1.2 costs $3.5 million",
+        "a Linux operating systems CVSS9.8 YARA1234 www.example.org/x. a.com.9", "sectors of one sector.\nthe two\nsector",
+        "word " * 20_000 + "sector", "word " * 500,
+    ]
+    found = spark.createDataFrame(list(enumerate(lines)), "n int, x string").select("n", text.mention_kinds(F.col("x")).alias("k")).collect()
+    for n, kinds in found:
+        first = {k: m[0] for k, p in text.MENTION_KINDS.items() if (m := re.search(p, lines[n], re.ASCII))}
+        assert {k["kind"]: k["value"] for k in kinds} == first, lines[n][:80]
+
+
 def test_malformed_json(spark):
     for said in ("{'a': 'x'}", '{"a": "x",}', "{a: 'x'}", 'so {"a": "x"} it is'):
         assert one(spark, jsontext.field(F.lit(said), "a")) == "x"
