@@ -120,18 +120,19 @@ REVERSED = np.packbits(np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uin
 @lru_cache(256)
 def canonical(lengths: tuple[int, ...]) -> list[int]:
     """The canonical code of each symbol, bits in stream order."""
+    used = [i for i, n in enumerate(lengths) if n]
     counts = [0] * 17
-    for n in lengths:
-        counts[n] += n > 0
+    for i in used:
+        counts[lengths[i]] += 1
     code, first = 0, [0] * 17
     for n in range(1, 17):
         code = (code + counts[n - 1]) << 1
         first[n] = code
     out = [0] * len(lengths)
-    for i, n in enumerate(lengths):
-        if n:
-            out[i] = REVERSED[first[n]] >> 16 - n
-            first[n] += 1
+    for i in used:
+        n = lengths[i]
+        out[i] = REVERSED[first[n]] >> 16 - n
+        first[n] += 1
     return out
 
 
@@ -175,6 +176,10 @@ class Prefix:
         return found >> 4
 
 
+#: Extra bits and the fewest repeats of code lengths 16 to 18.
+REPEATS = ((2, 3), (3, 3), (7, 11))
+
+
 def read_prefix(bits: Reader, alphabet: int) -> Prefix:
     lengths = [0] * alphabet
     if bits.take(1):
@@ -199,7 +204,7 @@ def read_prefix(bits: Reader, alphabet: int) -> Prefix:
             last = n or last
             at += 1
         else:
-            extra, fewest = {16: (2, 3), 17: (3, 3), 18: (7, 11)}[n]
+            extra, fewest = REPEATS[n - 16]
             times = fewest + (value >> width & (1 << extra) - 1)
             if at + times > alphabet:
                 raise Corrupt("code lengths run over the alphabet")
@@ -540,14 +545,15 @@ def _copies(plane: np.ndarray) -> np.ndarray:
         kept = back[first] > 0
         at = 0
         for a, b, d in zip(first[kept].tolist(), last[kept].tolist(), back[first[kept]].tolist()):
-            a = max(a, at)
-            if a >= b:
+            if b <= at:
                 continue
+            if a < at:
+                a = at
             at = b + MATCH - 1
-            while a < at:
-                n = min(LONGEST, at - a)
-                out += (base + a, n, d)
-                a += n
+            while at - a > LONGEST:
+                out += (base + a, LONGEST, d)
+                a += LONGEST
+            out += (base + a, at - a, d)
     return np.array(out, np.int64).reshape(-1, 3)
 
 
@@ -586,9 +592,10 @@ def _write_plane(out: Writer, plane: np.ndarray, rest: tuple[int, int, int]) ->
         value[where] |= v.astype(np.uint64) << width[where]
         width[where] += k.astype(np.uint64)
     width = width.astype(np.int64)
-    ends = np.cumsum(width)
-    inside = np.arange(ends[-1]) - np.repeat(ends - width, width)
-    out.put_bits((np.repeat(value, width) >> inside.astype(np.uint64)).astype(np.uint8) & 1)
+    # Each token's bits, the lowest first: as many in a row as the longest has, of which its width is kept.
+    most = int(width.max(initial=0))
+    rows = np.unpackbits(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : most + 7 >> 3], axis=1, bitorder="little")
+    out.put_bits(rows[np.arange(rows.shape[1]) < width[:, None]])
 
 
 def write_image(out: Writer, pixels: np.ndarray, top: bool, cache_bits: int = 0, copies: bool = False, even: bool = False) -> None:
