@@ -72,7 +72,9 @@ def whole_text(column: str = "text"):
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nobody holds any more, once their results are written.
 
-    It does so when the driver's garbage is collected, which on a large heap can be long after."""
+    It does so when the driver's garbage is collected, which on a large heap can be long after. The listeners' threads
+    hold the event they got last, the end of the last query with its whole plan, so another small one is run first."""
+    spark.range(0, 1, 1, 1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forget, maybe_broadcast, probed, release, tidy, written
+from .common import bloom, documents, forget, maybe_broadcast, probed, release, small, tidy, written
 from .exact_dedup import TEXTS_PER_WORD, repeated_bits
 
 WORDS = 5
@@ -435,14 +435,21 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes(texts: DataFrame, banded: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
-    """(v, c), written, for the texts that share a band with another; the arguments are the results of ``weighed``."""
+    """(v, c), written, for the texts that share a band with another; the arguments are the results of ``weighed``, whose
+    tables are deleted as soon as they aren't needed."""
     spark = texts.sparkSession
     bands = banded.select("v", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     members = written(bands.join(shared, "band"), "near-shared")
     # How many others a text meets over its bands: what a family of copies descends from meets the most.
     met = written(members.groupBy("v").agg(F.sum("size").alias("met")), "near-met")
-    meeting = written(texts.join(met.select("v"), "v", "left_semi").select("v", "norm").join(banded.select("v", "counts"), "v"), "near-meeting")
+    # Texts that meet no other stay where they are: a Bloom filter of those that do lets few others move.
+    bits, words = bloom(met, "v", "near-bits")
+    few = lambda df: probed(df, "v", bits, words).where("maybe").drop("maybe")
+    meeting = few(texts.select("v", "norm")).join(met.select("v"), "v", "left_semi").join(few(banded.select("v", "counts")), "v")
+    meeting = written(meeting, "near-meeting")
+    forget(texts), forget(banded), forget(bits)
+    release(spark)
     vectors = written(_vectors(meeting, n), "near-vectors")
     labels = written(met.select("v", F.col("v").alias("c")), "near-classes")
     done = None
@@ -452,7 +459,11 @@ def classes(texts: DataFrame, banded: DataFrame, n: int, similar: float = SIMILA
         nonlocal labels, done
         pairs = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "near-pairs")
         done = done.union(pairs) if done is not None else pairs
-        links = written(verified(pairs, vectors, similar), "near-links")
+        # While the texts of the pairs are few enough to be broadcast, only their vectors move.
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "near-ends")
+        own = vectors.join(F.broadcast(ends), "v", "left_semi") if small(ends) else vectors
+        links = written(verified(pairs, own, similar), "near-links")
+        forget(ends)
         found = bool(links.head(1))
         if found:
             labels = joined(labels, links)
@@ -494,7 +505,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILA
     keys, texts, rows = distinct_texts(docs, text)
     texts, banded, n = weighed(texts, rows)
     labels = classes(texts, banded, n, similar)
-    forget(texts), forget(banded)
     # Rows shrink to one per text and then to one per class by partial aggregation before they meet.
     per_text = written(keys.groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("n"), "doc_id")).alias("first"), F.count("*").alias("n")), "near-per-text")
     in_class = per_text.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))

@@ -1,8 +1,10 @@
 import re
+import time
 from collections import Counter
 
 import numpy as np
 from graphloom.llm import minhash
+from graphloom.llm.common import forget, release, written
 
 
 def norm(t):
@@ -137,3 +139,46 @@ def test_twins_in_a_template_family_are_found(spark):
     links = [x for x in want.values() if len(x) > 1]
     assert len(links) > 100
     assert sum(frozenset(x) in found for x in links) >= 0.99 * len(links)
+
+
+def _sent(spark):
+    """Bytes shuffled so far in this application."""
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_texts_that_meet_no_other_stay_where_they_are(spark):
+    """What candidates cost moves in proportion to the texts that meet, also where joins aren't broadcast."""
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 2**40, n)]
+    alone = [" ".join(words(1500)) for _ in range(300)]
+    near = words(100)
+    rows = [(f"a{k:03}".encode(), t) for k, t in enumerate(alone)]
+    rows += [(f"b{k}".encode(), " ".join([*near[:50], f"edit{k}", *near[51:]])) for k in range(3)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = minhash.weighed(spark.createDataFrame(rows, "v binary, norm string").coalesce(1), len(rows))
+        start = _sent(spark)
+        got = minhash.classes(*found)
+        sent = _sent(spark) - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {bytes(r.v): bytes(r.c) for r in got.collect()} == {b"b0": b"b0", b"b1": b"b0", b"b2": b"b0"}
+    assert sent < sum(map(len, alone)) / 20
+
+
+def test_release_drops_the_last_shuffle(spark):
+    """The files of the query that ended last go too, though nothing ran after it."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {str(f) for f in manager.getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+
+    old = files()
+    forget(written(spark.range(1000).repartition(3, "id"), "released"))
+    assert files() - old
+    release(spark)
+    end = time.monotonic() + 10
+    while files() - old and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not files() - old
