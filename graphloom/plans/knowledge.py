@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, metrics, ontology, ranks, resolve, search
+from ..operators import dense, graph, metrics, ontology, ranks, resolve, search
 from .base import query, table
 
 _EDGES = "edges AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'top' FROM region)"
@@ -211,8 +211,7 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SIM}, m AS (SELECT label AS kind, vec_id AS a, vec_id AS b FROM embeddings UNION ALL SELECT * FROM near), c AS (SELECT DISTINCT kind, members FROM (SELECT kind, a, list_sort(list(DISTINCT b)) AS members FROM m GROUP BY 1, 2)), x AS (SELECT kind, unnest(members) AS mention, members FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY kind, mention ORDER BY members[1] DESC, members DESC) AS rn FROM x) SELECT kind, mention, members[1] AS entity, len(members)::INT AS cluster_size FROM r WHERE rn = 1")
 def entity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions with their direct neighbours per class; the last cluster wins."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("kind"), F.col("vec_id").alias("mention"))
-    return graph.align(e, _near(spark, sf_dir))
+    return dense.align(table(spark, sf_dir, "embeddings"), "label", 0.25)
 
 
 @query("WITH m AS (SELECT o_custkey AS entity, o_orderkey AS mention, o_orderpriority IN ('1-URGENT', '2-HIGH') AS ioc FROM orders), c AS (SELECT entity, count(*) FILTER (ioc) AS iocs, count(*) - 1 AS merged FROM m GROUP BY 1) SELECT mention, CASE WHEN ioc AND iocs >= merged + 1 THEN 'i' || mention ELSE 'e' || entity END AS entity FROM m JOIN c USING (entity)")
