@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from .graph import written
 
+#: Rows of a table of classes that is broadcast at most, and rows of data that a task gets on average at most.
+FEW = 100_000
+TASK_ROWS = 1_000_000
+
 
 def subclass_edges(triples: DataFrame) -> DataFrame:
     """(child, parent) from (s, p, o): local names, no loops, no blank nodes."""
@@ -63,10 +67,17 @@ def violations(shapes: DataFrame, instances: DataFrame, values: DataFrame, known
     """Instances with fewer or more values than a shape of their class or its ancestors allows.
 
     shapes: (target, path, min_count, max_count); instances: (s, cls); values: (s, path)."""
-    wanted = instances.join(known.select(F.col("child").alias("cls"), F.col("ancestor").alias("target")), "cls").join(shapes, "target").select("s", "path", "min_count", "max_count").distinct()
-    counted = wanted.join(values.groupBy("s", "path").agg(F.count("*").alias("n")), ["s", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bounds = written(known.select(F.col("child").alias("cls"), F.col("ancestor").alias("target")).join(shapes, "target").select("cls", "path", "min_count", "max_count").distinct())
+    wanted = instances.join(F.broadcast(bounds) if bounds.count() <= FEW else bounds, "cls").select("s", "path", "min_count", "max_count")
+    # Both sides lie by key in as many partitions as their rows need, so that a task's memory doesn't grow with them.
+    rows, cores = instances.count() + values.count(), max(instances.sparkSession.sparkContext.defaultParallelism, 2)
+    parts = max(min(cores, -(-rows // 50_000)), -(-rows // TASK_ROWS), 1)
+    key = F.struct(F.col("s"), F.col("path")).alias("key")  # one column, so that constant paths don't cost another shuffle
+    n = values.where("s IS NOT NULL AND path IS NOT NULL").select(key).repartition(parts, "key").groupBy("key").agg(F.count("*").alias("n"))
+    counted = wanted.select(key, "min_count", "max_count").repartition(parts, "key").join(n, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     kind = F.when(F.col("n") < F.col("min_count"), "too few").when(F.col("n") > F.col("max_count"), "too many")
-    return counted.withColumn("violation", kind).where("violation IS NOT NULL")
+    found = counted.withColumn("violation", kind).where("violation IS NOT NULL").distinct()
+    return found.select("key.s", "key.path", "min_count", "max_count", "n", "violation")
 
 
 def roots(classes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -102,3 +102,16 @@ def test_shape_violations_and_sentences(spark):
     closed = ontology.bounded_closure(spark.createDataFrame([("S", "T")], "child string, parent string"))
     got = {r.s: r.violation for r in ontology.violations(shapes, inst, values, closed).collect()}
     assert got == {"x": "too many", "z": "too few"}
+
+
+def test_shape_violations_by_tasks_of_bounded_rows(spark, monkeypatch):
+    """Before, the number of tasks didn't follow the rows, and instances were made distinct before they were counted."""
+    monkeypatch.setattr(ontology, "TASK_ROWS", 100)
+    shapes = spark.createDataFrame([("T", "p", 1, 2)], "target string, path string, min_count int, max_count int")
+    inst = spark.range(2000).select("id", F.explode(F.array(F.lit("T"), F.lit("S"))).alias("cls")).selectExpr("id AS s", "cls")
+    values = spark.range(2000).selectExpr("id", "explode(sequence(1, 4)) AS k").where("k <= id % 5").selectExpr("id AS s", "'p' AS path")
+    closed = ontology.bounded_closure(spark.createDataFrame([("S", "T")], "child string, parent string"))
+    found = ontology.violations(shapes, inst, values, closed)
+    assert found.rdd.getNumPartitions() >= 80
+    got = {r.s: r.violation for r in found.collect()}
+    assert got == {i: "too few" if i % 5 == 0 else "too many" for i in range(2000) if i % 5 in (0, 3, 4)} and found.count() == len(got)
