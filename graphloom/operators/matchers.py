@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import jaccard
 from ..functions.text import blank_tokens
+from .graph import written
 
 
 class Matcher(Protocol):
@@ -68,6 +69,42 @@ def independent_slots(bar: float = 0.5) -> Matcher:
     return _Scored(_overlap, triple, bar)
 
 
+def similar_sets(sets: DataFrame, bar: float) -> DataFrame:
+    """(x, y, score) for all ordered pairs of distinct token sets, x = y included, whose Jaccard similarity is at least
+    ``bar``. sets: (x, tokens), x the sorted tokens as text. Two such sets share one of the first n - ceil(bar * n) + 1
+    tokens in any fixed order, here from the rarest; sets without tokens meet by an empty one."""
+    each = sets.select("x", F.size("tokens").alias("n"), F.explode(F.when(F.size("tokens") == 0, F.array(F.lit(""))).otherwise(F.col("tokens"))).alias("t"))
+    df = each.groupBy("t").agg(F.count("*").alias("df"))
+    ordered = each.join(df, "t").groupBy("x", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    cut = F.greatest(F.col("n") - F.ceil(F.col("n") * bar - 1e-9).cast("int") + 1, F.lit(1))
+    first = ordered.select("x", "n", F.explode(F.slice("ts", F.lit(1), cut)).alias("t")).select("x", "n", "t.t")
+    close = F.least("n", "m") >= bar * F.greatest("n", "m") - 1e-9
+    met = first.join(first.select(F.col("x").alias("y"), F.col("n").alias("m"), "t"), "t").where(close).select("x", "y").distinct()
+    mine, other = sets.select("x", F.col("tokens").alias("p")), sets.select(F.col("x").alias("y"), F.col("tokens").alias("g"))
+    scored = met.join(mine, "x").join(other, "y").select("x", "y", jaccard(F.col("p"), F.col("g")).alias("score"))
+    return scored.where(F.col("score") >= bar)
+
+
+def slot_pairs(predicted: DataFrame, gold: DataFrame, s_bar: float, o_bar: float) -> DataFrame:
+    """(doc, i, j, score): rows of one document whose subjects' tokens agree to ``s_bar`` and objects' to ``o_bar``.
+
+    (doc, i, s, o) and (doc, j, s, o), s and o arrays of distinct tokens. Similarities are computed once for each two
+    distinct token sets, then for classes of equal rows; rows meet only in pairs that are part of the result."""
+    text = lambda c: F.array_join(F.sort_array(c), " ")
+    keyed = lambda df, k: df.where("doc IS NOT NULL AND s IS NOT NULL AND o IS NOT NULL").select("doc", k, text("s").alias("sx"), text("o").alias("ox"), "s", "o")
+    p, g = keyed(predicted, "i"), keyed(gold, "j")
+    sets = lambda c: p.select(F.col(f"{c}x").alias("x"), F.col(c).alias("tokens")).union(g.select(f"{c}x", c)).groupBy("x").agg(F.first("tokens").alias("tokens"))
+    near = lambda c, bar: written(similar_sets(written(sets(c)), bar)).select(F.col("x").alias(f"p{c}"), F.col("y").alias(f"g{c}"), F.col("score").alias(f"{c}_score"))
+    s, o = near("s", s_bar), near("o", o_bar)
+    own = lambda df, k: df.select("doc", F.col("sx").alias(f"{k}s"), F.col("ox").alias(f"{k}o"))
+    classes = own(p, "p").distinct().join(s, "ps").join(own(g, "g").distinct(), ["doc", "gs"]).join(o, ["po", "go"])
+    score = ((F.col("s_score") + F.col("o_score")) / 2).alias("score")
+    links = classes.select("doc", "ps", "po", "gs", "go", score)
+    mine = p.select("doc", F.col("sx").alias("ps"), F.col("ox").alias("po"), "i")
+    other = g.select("doc", F.col("sx").alias("gs"), F.col("ox").alias("go"), "j")
+    return links.join(mine, ["doc", "ps", "po"]).select("doc", "gs", "go", "i", "score").join(other, ["doc", "gs", "go"]).select("doc", "i", "j", "score")
+
+
 MODES: dict[str, Callable[..., Matcher]] = {"exact": exact, "jaccard": token_overlap, "slots": independent_slots}
 
 

@@ -184,11 +184,9 @@ _SLOTS = r"string_split(trim(regexp_replace(lower({}), '\s+', ' ', 'g')), ' ')"
 @query(f"WITH t AS (SELECT p_partkey, p_size AS doc, list_distinct({_SLOTS.format('p_name')}) AS s, list_distinct({_SLOTS.format(chr(39).join(['p_brand || ', ' ', ' || p_type']))}) AS o FROM part), x AS (SELECT p.doc, p.p_partkey AS i, g.p_partkey AS j, len(list_intersect(p.s, g.s)) / (len(p.s) + len(g.s) - len(list_intersect(p.s, g.s))) AS a, len(list_intersect(p.o, g.o)) / (len(p.o) + len(g.o) - len(list_intersect(p.o, g.o))) AS b FROM t p JOIN t g ON p.doc = g.doc WHERE p.p_partkey % 2 = 0 AND g.p_partkey % 2 = 1) SELECT doc, i, j, (a + b) / 2 AS score FROM x WHERE a >= 0.5 AND b >= 0.3")
 def independent_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subject and object of two triples of one document must each reach a bar."""
-    t = table(spark, sf_dir, "part").select(C("p_size").alias("doc"), "p_partkey", blank_tokens(C("p_name")).alias("s"), blank_tokens(F.concat_ws(" ", "p_brand", "p_type")).alias("o"))
-    p = t.where("p_partkey % 2 = 0").select("doc", C("p_partkey").alias("i"), C("s").alias("ps"), C("o").alias("po"))
-    g = t.where("p_partkey % 2 = 1").select("doc", C("p_partkey").alias("j"), C("s").alias("gs"), C("o").alias("go"))
-    a, b = matchers.jaccard(C("ps"), C("gs")), matchers.jaccard(C("po"), C("go"))
-    return p.join(g, "doc").where((a >= 0.5) & (b >= 0.3)).select("doc", "i", "j", ((a + b) / 2).alias("score"))
+    t = table(spark, sf_dir, "part").select(C("p_size").alias("doc"), "p_partkey", blank_tokens(C("p_name")).alias("s"), blank_tokens(F.concat("p_brand", F.lit(" "), "p_type")).alias("o"))
+    p, g = t.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "i"), t.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "j")
+    return matchers.slot_pairs(p, g, 0.5, 0.3)
 
 
 @query(rf"WITH t AS (SELECT p_partkey, unnest(list_filter(string_split_regex(lower(p_name || ' ' || p_type || ' ' || coalesce(p_brand, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM part), s AS (SELECT DISTINCT p_partkey, {_STEM} AS stem FROM t) SELECT p_partkey, array_to_string(list_sort(list(stem)), ' ') AS bag FROM s GROUP BY 1")

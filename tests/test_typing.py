@@ -1,6 +1,9 @@
 """Matchers, decisions, shapes and result rows on small tables."""
 
+import random
+
 import pytest
+from graphloom.functions import text
 from graphloom.operators import extraction, matchers, ontology
 from graphloom.sources import rdf
 from pyspark.sql import functions as F
@@ -46,3 +49,17 @@ def test_shapes_out_of_turtle(spark, tmp_path):
 def test_results(spark):
     m = spark.createDataFrame([(1, 2, "a", "late", False), (1, 1, "a", "early", False), (1, 3, "5", None, True), (1, 4, "b", None, False)], "doc int, ord int, name string, cls string, literal boolean")
     assert {tuple(r) for r in extraction.entities_output(m).collect()} == {(1, "a", "early"), (1, "b", "")}
+
+
+def test_slots_of_equal_rows_are_compared_once(spark):
+    """Before, every two rows of a document were compared, and a missing brand counted as an empty one."""
+    names = ["red fox", "fox  RED", "a b c", "a b d", "", "x"]
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), i, rng.choice(names), rng.choice(names) if i % 11 else None) for i in range(120)]
+    data = spark.createDataFrame(rows, "doc int, i int, a string, b string")
+    t = data.select("doc", "i", text.blank_tokens(F.col("a")).alias("s"), text.blank_tokens(F.col("b")).alias("o"))
+    p, g = t.where("i % 2 = 0"), t.where("i % 2 = 1").withColumnRenamed("i", "j")
+    got = sorted(tuple(r) for r in matchers.slot_pairs(p, g, 0.5, 0.3).collect())
+    a, b = matchers.jaccard(F.col("p.s"), F.col("g.s")), matchers.jaccard(F.col("p.o"), F.col("g.o"))
+    plain = p.alias("p").join(g.alias("g"), "doc").where((a >= 0.5) & (b >= 0.3)).select("doc", "i", "j", ((a + b) / 2).alias("score"))
+    assert got and got == sorted(tuple(r) for r in plain.collect())
