@@ -74,3 +74,21 @@ def test_texts_without_tokens_meet(spark, tmp_path):
     rows = [(1, "", "en"), (2, "!!! ...", "en"), (3, "", "de"), (4, "word", "en"), (5, None, "en"), (6, "Word.", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in token_jaccard_join(spark, str(tmp_path)).collect()) == [(1, 2, 1.0), (4, 6, 1.0)]
+
+
+def test_families_of_copies_are_compared_once(spark, tmp_path, monkeypatch):
+    """Before, each two copies were a candidate whose tokens were joined; their documents still pair all."""
+    from graphloom.operators import search
+    from graphloom.plans.similarity import token_jaccard_join
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghijkl") for _ in range(14)) for _ in range(60)]
+    rows = [(i, t, "ende"[i % 2 * 2 :][:2]) for i, t in enumerate(texts + texts[:30] + [x + " new" for x in texts[:30]])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    compared, own = [], search.prefixes
+    monkeypatch.setattr(search, "prefixes", lambda d, *rest: compared.append(d.count()) or own(d, *rest))
+    got = sorted(tuple(r) for r in token_jaccard_join(spark, str(tmp_path)).collect())
+    sets = [(i, set(t.split()), lang) for i, t, lang in rows]
+    score = lambda a, b: len(a & b) / len(a | b)
+    want = [(i, j, round(score(a, b), 6)) for i, a, m in sets for j, b, n in sets if i < j and m == n and score(a, b) >= 0.8]
+    assert got == sorted(want) and compared == [len({(frozenset(a), m) for _, a, m in sets})]
